@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.sources.shared import materialize, new_path, remove  # noqa: F401
@@ -28,6 +28,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once for each row, also where lambdas in `body` use it again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of the whole text: A-Z lower-cased, cut at ASCII white space."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
