@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
+from tessel.llm import decontaminate, pii, sentencepiece, toxicity
 from tessel.llm.common import read
 from tessel.llm.near_dup import near_duplicates
 
+#: Where the vocabulary lies; copy it to the same place on every driver.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: The secret of surrogates; give another in production.
+KEY = "replace-this-key"
+
+
+def op3_decontaminate(spark, d):
+    return decontaminate.contained(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+def op5_sentencepiece(spark, d):
+    return sentencepiece.encode(read(spark, d, "documents"), PIECES)
+
+
+def op6_pii(spark, d):
+    return pii.replaced(read(spark, d, "documents"), KEY)
+
+
+def op7_toxicity(spark, d):
+    docs = read(spark, d, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, d, "labels")))
+
 
 def op10_near_dup(spark, d):
     return near_duplicates(read(spark, d, "documents"), percent=85)
 
 
-QUERIES = {"op10_near_dup": op10_near_dup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
+    "op10_near_dup": op10_near_dup,
+}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.sql()}
