@@ -32,8 +32,8 @@ _KEEP[128:] = np.arange(128, 256)
 class Bounds:
     """The fit reads at most `rows` labelled rows of each class and `chars` characters in all."""
 
-    rows: int = 4000
-    chars: int = 30_000_000
+    rows: int = 2500
+    chars: int = 16_000_000
 
 
 @dataclass(frozen=True)
