@@ -37,11 +37,10 @@ def with_question(df: DataFrame, text: str, strict: bool = True) -> DataFrame:
     return df.withColumns(
         {
             "n_options": option_count(source).cast("long"),
-            "is_mc": is_multiple_choice(source),
             "question": stem(source),
             "options": options(source),
         }
-    )
+    ).withColumn("is_mc", F.col("n_options") >= 2)
 
 
 def option_lines(df: DataFrame, key: str, text: str) -> DataFrame:

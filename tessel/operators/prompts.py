@@ -37,31 +37,44 @@ class Template:
         return "\\n" if self.escaped else "\n"
 
 
-def zero_shot(text: Column, t: Template = Template()) -> Column:
+@dataclass(frozen=True)
+class Parsed:
+    """A question's parts, so that a plan that has them as columns computes them once."""
+
+    is_mc: Column
+    stem: Column
+    options: Column
+
+    @classmethod
+    def of(cls, text: Column) -> Parsed:
+        return cls(parse.is_multiple_choice(text), parse.stem(text), parse.options(text))
+
+
+def zero_shot(text: Column, t: Template = Template(), parsed: Parsed | None = None) -> Column:
     """Role, instruction, question; options one on each line."""
-    n, choice = "\n", parse.is_multiple_choice(text)
+    n, q = "\n", parsed or Parsed.of(text)
     mc = F.concat(
-        F.lit(f"{t.role}{n}{n}{t.choose}{n}{n}{QUESTION} "), parse.stem(text),
-        F.lit(f"{n}{CHOICES}{n}"), F.array_join(parse.options(text), "\n"), F.lit(f"{n}{n}{ANSWER}"),
+        F.lit(f"{t.role}{n}{n}{t.choose}{n}{n}{QUESTION} "), q.stem,
+        F.lit(f"{n}{CHOICES}{n}"), F.array_join(q.options, "\n"), F.lit(f"{n}{n}{ANSWER}"),
     )
     free = F.concat(F.lit(f"{t.role}{n}{n}{t.explain}{n}{n}{QUESTION} "), text, F.lit(f"{n}{n}{ANSWER}"))
-    return F.when(choice, mc).otherwise(free)
+    return F.when(q.is_mc, mc).otherwise(free)
 
 
-def few_shot(text: Column, t: Template = Template()) -> Column:
+def few_shot(text: Column, t: Template = Template(), parsed: Parsed | None = None) -> Column:
     """Examples before a multiple-choice question; an open one is to be reasoned about."""
-    n, choice = t.newline, parse.is_multiple_choice(text)
+    n, q = t.newline, parsed or Parsed.of(text)
     mc = F.concat(
-        F.lit(f"{t.role}{n}{t.choose}{n}{n}{t.examples}{n}{n}{QUESTION} "), parse.stem(text),
-        F.lit(f"{n}{CHOICES}{n}"), F.array_join(parse.options(text), "\n"), F.lit(f"{n}{n}{ANSWER}"),
+        F.lit(f"{t.role}{n}{t.choose}{n}{n}{t.examples}{n}{n}{QUESTION} "), q.stem,
+        F.lit(f"{n}{CHOICES}{n}"), F.array_join(q.options, "\n"), F.lit(f"{n}{n}{ANSWER}"),
     )
     free = F.concat(F.lit(f"{t.role}{n}{t.step_by_step}{n}{n}{QUESTION} "), text, F.lit(f"{n}{n}{REASONING}"))
-    return F.when(choice, mc).otherwise(free)
+    return F.when(q.is_mc, mc).otherwise(free)
 
 
-def zero_shot_legacy(text: Column, t: Template = Template()) -> Column:
+def zero_shot_legacy(text: Column, t: Template = Template(), parsed: Parsed | None = None) -> Column:
     """The older layout: only the separator behind the role may be escaped."""
-    return zero_shot(text, replace(t, role=t.role + t.newline, choose=f"지시: {t.choose}", explain=f"지시: {t.explain}"))
+    return zero_shot(text, replace(t, role=t.role + t.newline, choose=f"지시: {t.choose}", explain=f"지시: {t.explain}"), parsed)
 
 
 STRATEGIES: dict[str, Callable[..., Column]] = {
@@ -72,5 +85,5 @@ STRATEGIES: dict[str, Callable[..., Column]] = {
 DEFAULT_STRATEGY = "few_shot"
 
 
-def prompt(text: Column, strategy: str = DEFAULT_STRATEGY, template: Template = Template()) -> Column:
-    return STRATEGIES[strategy](text, template)
+def prompt(text: Column, strategy: str = DEFAULT_STRATEGY, template: Template = Template(), parsed: Parsed | None = None) -> Column:
+    return STRATEGIES[strategy](text, template, parsed)

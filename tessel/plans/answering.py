@@ -22,8 +22,10 @@ def answer(
 
     Rows keep their identity, so each answer is read with its own question.
     """
-    parsed = parse.with_question(questions, text, strict).withColumn("prompt", prompts.prompt(F.col(text), strategy, template))
-    return parsed.withColumn("generated", generate(F.col("prompt"))).withColumn(
+    parts = prompts.Parsed(F.col("is_mc"), F.col("question"), F.col("options"))
+    parsed = parse.with_question(questions, text, strict)
+    prompted = parsed.withColumn("prompt", prompts.prompt(F.col(text), strategy, template, parts))
+    return prompted.withColumn("generated", generate(F.col("prompt"))).withColumn(
         "answer", answers.extract(F.col("generated"), F.col("is_mc"), F.col("prompt"))
     )
 
