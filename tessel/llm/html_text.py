@@ -58,7 +58,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]
     """(path, text, plain) of each block in page order, and the layout (child tags) of each path.
 
     Noise branches are left out; so is what lies outside article or main, if the
-    page has one. plain: no class or id below article or main.
+    page has one. plain: in article or main, with no class or id below it.
     """
     page = page or ""
     stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, skipped, inside, styled inside
@@ -72,7 +72,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]
             text.clear()
             if joined:
                 top = next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", False, False, False))
-                blocks.append((top[1], joined, not top[4], top[3]))
+                blocks.append((top[1], joined, top[3] and not top[4], top[3]))
 
     def close(n: int) -> None:
         if any(s[0] not in INLINE for s in stack[n:]):

@@ -31,6 +31,8 @@ PATTERNS = {
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "name": rf"(?<![\w])(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,30}}+(?: \p{{Lu}}\p{{L}}{{1,30}}+)?",
 }
+#: Draws for one entity. Formats have 10**9 values and more, names grow with each draw.
+ATTEMPTS = 40
 ANY = "|".join(PATTERNS.values())
 
 # Name lists: our own choice of common given names.
@@ -179,6 +181,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if todo.isEmpty():
             return done
         attempt += 1
+        if attempt > ATTEMPTS:
+            raise ValueError("some kind of entity has more members than its format has free values")
 
 
 def _replaced(docs: DataFrame, key: str, count: str) -> DataFrame:

@@ -164,6 +164,8 @@ class Vocabulary:
 
     def solve(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units one behind the other, their number for each unit)."""
+        if not units:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         lens = np.array([len(u) for u in units], np.int64)
         data = np.frombuffer(b"".join(u + b"\0" for u in units) or b"\0", np.uint8)
         first = np.concatenate(([0], np.cumsum(lens + 1)[:-1])).astype(np.int64)
