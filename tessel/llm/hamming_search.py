@@ -1,15 +1,17 @@
 """Exact top-k search over 64-bit binary codes by incremental multi-index hashing.
 
-Codes are split into SEGMENTS; each segment is an index. A query looks up all
+Codes are split into segments of about log2 of their number of bits; each segment
+is an index. A query looks up all
 values of a segment that differ from its own in r bits, segment after segment and
-radius after radius. A code at distance d has a segment at distance d / SEGMENTS
-or less, so after radius r of all segments every code within SEGMENTS * (r + 1) - 1
+radius after radius. A code at distance d has a segment at distance d / segments
+or less, so after radius r of all segments every code within segments * (r + 1) - 1
 was met. A query ends when its k-th verified distance lies within that bound; the
 others go on with r + 1. Equal codes are one entry with their k least ids.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +19,15 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import materialize, remove
 
-SEGMENTS = 4
-BITS = 64 // SEGMENTS
+#: Least and most segments; four have 12,870 values at most at one radius.
+SEGMENTS = (4, 16)
+
+
+def segments(codes: int) -> list[tuple[int, int]]:
+    """(shift, bits) of each segment: about log2 of the number of codes in bits, so that an index entry holds about one."""
+    n = min(max(round(64 / math.log2(max(codes, 2))), SEGMENTS[0]), SEGMENTS[1])
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def code(vector: Column, dims: int = 64) -> Column:
@@ -30,15 +39,15 @@ def code(vector: Column, dims: int = 64) -> Column:
     return out
 
 
-def _masks(spark, radius: int) -> DataFrame:
-    """(seg, mask): all BITS-bit masks of `radius` bits for each segment, 51,480 rows at most."""
-    masks = [(s, sum(1 << b for b in c)) for s in range(SEGMENTS) for c in combinations(range(BITS), radius)]
+def _masks(spark, cut: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(seg, mask): all masks of `radius` bits of each segment, 51,480 rows at most."""
+    masks = [(s, sum(1 << b for b in c)) for s, (_, bits) in enumerate(cut) for c in combinations(range(bits), radius)]
     return F.broadcast(spark.createDataFrame(masks, "seg int, mask int"))
 
 
-def _segments(c: str) -> Column:
-    part = lambda s: F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned(c, s * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("val"))
-    return F.explode(F.array(*map(part, range(SEGMENTS))))
+def _segments(c: str, cut: list[tuple[int, int]]) -> Column:
+    part = lambda s, at, bits: F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("val"))
+    return F.explode(F.array(*(part(s, *x) for s, x in enumerate(cut))))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -55,16 +64,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         .withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     )
     entries = materialize(entries, "codes")
-    index = materialize(entries.select("code", _segments("code").alias("s")).select("s.seg", "s.val", "code"), "index")
+    cut = segments(entries.count())
+    index = materialize(entries.select("code", _segments("code", cut).alias("s")).select("s.seg", "s.val", "code"), "index")
     asked = queries.select("query_id", F.col("code").cast("long").alias("q")).dropna().distinct()
     todo, best, results = materialize(asked.select("q").distinct(), "todo"), None, []
     total = entries.agg(F.sum(F.size("ids"))).first()[0] or 0
     want = min(k, total)
     w = Window.partitionBy("q").orderBy("distance", "id")
-    for radius in range(BITS + 1):
+    for radius in range(max(bits for _, bits in cut) + 1):
         if not want:
             break
-        probe = todo.select("q", _segments("q").alias("s")).select("q", "s.*").join(_masks(spark, radius), "seg").select("q", "seg", F.col("val").bitwiseXOR(F.col("mask")).alias("val"))
+        probe = todo.select("q", _segments("q", cut).alias("s")).select("q", "s.*").join(_masks(spark, cut, radius), "seg").select("q", "seg", F.col("val").bitwiseXOR(F.col("mask")).alias("val"))
         found = probe.join(index, ["seg", "val"]).select("q", "code").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
         # Only what can still be among the k: codes, each standing for its k least ids.
         near = found.withColumn("reach", F.rank().over(Window.partitionBy("q").orderBy("distance"))).where(F.col("reach") <= k).drop("reach")
@@ -72,7 +82,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if best is not None:
             ids = ids.union(best.join(todo, "q", "left_semi").select("q", "distance", "id")).distinct()
         best = materialize(ids.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "best")
-        bound = SEGMENTS * (radius + 1) - 1
+        bound = len(cut) * (radius + 1) - 1
         sure = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") >= want) & (F.col("far") <= bound))
         results.append(best.join(sure, "q", "left_semi").select("q", "id", "distance", "rank"))
         left = materialize(todo.join(sure, "q", "left_anti"), "todo")
