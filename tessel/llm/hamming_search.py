@@ -1,12 +1,12 @@
 """Exact top-k search over 64-bit binary codes by incremental multi-index hashing.
 
-Codes are split into segments of about log2 of their number of bits; each segment
-is an index. A query looks up all
-values of a segment that differ from its own in r bits, segment after segment and
-radius after radius. A code at distance d has a segment at distance d / segments
-or less, so after radius r of all segments every code within segments * (r + 1) - 1
-was met. A query ends when its k-th verified distance lies within that bound; the
-others go on with r + 1. Equal codes are one entry with their k least ids.
+Codes are split into m segments; each is an index. Step t looks up all values
+of segment t % m that differ from the query's own in t // m bits. A code at
+distance t or less has a segment s at distance (t - s) // m or less, so after step t
+every code within distance t was met. A query ends when its k-th verified distance
+is t or less; the others go on. Once a query has k, the join itself verifies
+distances and passes on only codes that are no farther than its k-th so far.
+Equal codes are one entry with their k least ids.
 """
 
 from __future__ import annotations
@@ -19,17 +19,34 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import materialize, remove
 
-#: Least and most segments; four have 12,870 values at most at one radius.
+#: Least and most segments.
 SEGMENTS = (4, 16)
+#: An index entry holds about 2**FULL codes: to compare a code costs less than to make and look up a key.
+FULL = 2
+#: Masks of the first steps together, which no bound cuts yet, and of later ones.
+MASKS = (128, 512)
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
-    """(shift, bits) of each segment: about log2 of the number of codes in bits, so that an index entry holds about one."""
-    n = min(max(round(64 / math.log2(max(codes, 2))), SEGMENTS[0]), SEGMENTS[1])
+    """(shift, bits) of each segment: about log2 of the codes less `FULL` bits, so that an index entry holds about 2**FULL."""
+    n = min(max(round(64 / max(math.log2(max(codes, 2)) - FULL, 1)), SEGMENTS[0]), SEGMENTS[1])
     cuts = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def steps(cut: list[tuple[int, int]]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Groups of successive steps: (last step, its masks as (segment, radius)); after the last all codes were met."""
+    out, now, n = [], [], 0
+    for t in range(65):
+        radius, seg = divmod(t, len(cut))
+        size = math.comb(cut[seg][1], radius)
+        if now and n + size > MASKS[bool(out)]:
+            out.append((t - 1, now))
+            now, n = [], 0
+        now, n = [*now, (seg, radius)], n + size
+    return [*out, (64, now)]
+
+
 def code(vector: Column, dims: int = 64) -> Column:
     """Signs of the first `dims` (64 at most) elements as bits; a missing or null element counts as not positive."""
     bits = [F.when(F.get(vector, F.lit(i)) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(dims)]
@@ -39,9 +56,9 @@ def code(vector: Column, dims: int = 64) -> Column:
     return out
 
 
-def _masks(spark, cut: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(seg, mask): all masks of `radius` bits of each segment, 51,480 rows at most."""
-    masks = [(s, sum(1 << b for b in c)) for s, (_, bits) in enumerate(cut) for c in combinations(range(bits), radius)]
+def _masks(spark, cut: list[tuple[int, int]], group: list[tuple[int, int]]) -> DataFrame:
+    """(seg, mask): all masks of the group's radii; one step has 12,870 at most."""
+    masks = [(s, sum(1 << b for b in c)) for s, radius in group for c in combinations(range(cut[s][1]), radius)]
     return F.broadcast(spark.createDataFrame(masks, "seg int, mask int"))
 
 
@@ -64,28 +81,31 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         .withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     )
     entries = materialize(entries, "codes")
-    cut = segments(entries.count())
-    index = materialize(entries.select("code", _segments("code", cut).alias("s")).select("s.seg", "s.val", "code"), "index")
+    total, distinct = entries.agg(F.sum(F.size("ids")), F.count(F.lit(1))).first()
+    cut, want = segments(distinct), min(k, total or 0)
+    index = materialize(entries.select("ids", "code", _segments("code", cut).alias("s")).select("s.seg", "s.val", "code", "ids"), "index")
     asked = queries.select("query_id", F.col("code").cast("long").alias("q")).dropna().distinct()
-    todo, best, results = materialize(asked.select("q").distinct(), "todo"), None, []
-    total = entries.agg(F.sum(F.size("ids"))).first()[0] or 0
-    want = min(k, total)
+    # q and the distance beyond which a code is of no use.
+    todo, best, results = materialize(asked.select("q", F.lit(64).alias("reach")).distinct(), "todo"), None, []
     w = Window.partitionBy("q").orderBy("distance", "id")
-    for radius in range(max(bits for _, bits in cut) + 1):
-        if not want:
-            break
-        probe = todo.select("q", _segments("q", cut).alias("s")).select("q", "s.*").join(_masks(spark, cut, radius), "seg").select("q", "seg", F.col("val").bitwiseXOR(F.col("mask")).alias("val"))
-        found = probe.join(index, ["seg", "val"]).select("q", "code").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+    for last, group in steps(cut) if want else ():
+        masks = _masks(spark, cut, group)
+        probe = todo.select("q", "reach", _segments("q", cut).alias("s")).select("q", "reach", "s.*").join(masks, "seg").select("q", "reach", "seg", F.col("val").bitwiseXOR(F.col("mask")).alias("val"))
+        here = index.where(F.col("seg").isin(sorted({s for s, _ in group})))
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        met = probe.alias("p").join(here.alias("i"), (F.col("p.seg") == F.col("i.seg")) & (F.col("p.val") == F.col("i.val")) & (distance <= F.col("reach")))
+        found = met.select("q", "code", "ids", distance.alias("distance")).dropDuplicates(["q", "code"])
         # Only what can still be among the k: codes, each standing for its k least ids.
-        near = found.withColumn("reach", F.rank().over(Window.partitionBy("q").orderBy("distance"))).where(F.col("reach") <= k).drop("reach")
-        ids = near.join(entries, "code").select("q", "distance", F.explode("ids").alias("id"))
+        near = found.withColumn("place", F.rank().over(Window.partitionBy("q").orderBy("distance"))).where(F.col("place") <= k)
+        ids = near.select("q", "distance", F.explode("ids").alias("id"))
         if best is not None:
             ids = ids.union(best.join(todo, "q", "left_semi").select("q", "distance", "id")).distinct()
         best = materialize(ids.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "best")
-        bound = len(cut) * (radius + 1) - 1
-        sure = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where((F.col("n") >= want) & (F.col("far") <= bound))
+        state = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where(F.col("n") >= want)
+        sure = state.where(F.col("far") <= last)
         results.append(best.join(sure, "q", "left_semi").select("q", "id", "distance", "rank"))
-        left = materialize(todo.join(sure, "q", "left_anti"), "todo")
+        left = todo.join(state, "q", "left").where(F.col("far").isNull() | (F.col("far") > last))
+        left = materialize(left.select("q", F.coalesce("far", "reach").cast("int").alias("reach")), "todo")
         remove(todo)
         todo = left
         if todo.isEmpty():
