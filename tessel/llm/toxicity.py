@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.common import materialize, remove
+
 SIZES = (3, 4, 5, 6)
 BITS, DIM, PASSAGE = 18, 8, 32
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -153,8 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
     """Fits on the labelled rows of `labels` (doc_id, toxic) that are not held out.
 
     The sample is bounded: of each class the `bounds.rows` rows of least hash,
-    and `bounds.chars` characters; texts enter whole. Null labels are skipped;
-    an id with several labels counts as toxic if one is.
+    and `bounds.chars` characters; texts enter whole. The driver first sees the
+    lengths and then fetches only the texts within the bound. Null labels are
+    skipped; an id with several labels counts as toxic if one is, and one with
+    several rows enters with the shortest text.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -165,14 +169,18 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
         return fit([], [])
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bounds.rows) for c in (0, 1)]
     # At most two times bounds.rows ids.
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    texts, toxic, left = [], [], bounds.chars
-    rows = sample.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "doc_id").toLocalIterator(prefetchPartitions=True)
-    for r in sorted(rows, key=lambda r: hash((r.doc_id * 0x9E3779B97F4A7C15) % 2**61)):
-        if left >= len(r.text):
-            left -= len(r.text)
-            texts.append(r.text)
-            toxic.append(r.toxic)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sample = materialize(sample.join(F.broadcast(picked[0].union(picked[1])), "doc_id").withColumn("n", F.length("text")), "sample")
+    order = lambda r: hash((r.doc_id * 0x9E3779B97F4A7C15) % 2**61)
+    chosen, left = [], bounds.chars
+    for r in sorted(sample.groupBy("doc_id").agg(F.min("n").alias("n")).collect(), key=order):
+        if left >= r.n:
+            left -= r.n
+            chosen.append((r.doc_id, r.n))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, n int"))
+    rows = sorted(sample.join(wanted, ["doc_id", "n"]).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=order)
+    remove(sample)
+    texts, toxic = [r.text for r in rows], [r.toxic for r in rows]
     return fit(texts, toxic, counts.get(1, 0) / sum(counts.values()))
 
 
