@@ -97,6 +97,29 @@ def _card(norm: Column, seed: Column) -> Column:
     return F.concat(head, F.when(_luhn(norm) % 10 == 0, check).otherwise(other).cast("string"))
 
 
+def _mod97(text: Column) -> Column:
+    """The number that digits and letters (A is 10, Z is 35) write, modulo 97."""
+
+    def step(a: Column, c: Column) -> Column:
+        v = F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return (a * F.when(v < 10, 10).otherwise(100) + v) % 97
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(norm: Column, seed: Column) -> Column:
+    """Of the same country, and with valid check digits if and only if the account number has them."""
+    country = F.substr(norm, F.lit(1), F.lit(2))
+    valid = _mod97(F.concat(F.substr(norm, F.lit(5)), F.substr(norm, F.lit(1), F.lit(4)))) == 1
+
+    def whole(account: Column) -> Column:
+        check = F.lit(98) - _mod97(F.concat(account, country, F.lit("00")))
+        other = F.pmod(check - 1 + F.pmod(F.xxhash64(seed), F.lit(96)).cast("int"), F.lit(97)) + 2
+        return F.concat(country, F.lpad(F.when(valid, check).otherwise(other).cast("string"), 2, "0"), account)
+
+    return let(_alike(F.substr(norm, F.lit(5)), seed), whole)
+
+
 def _surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     seeds = F.struct(
         F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string")), 256).alias("own"),
@@ -120,7 +143,7 @@ def _drawn(kind: Column, norm: Column, attempt: Column, seed: Column, domain: Co
         F.when(kind == "email", F.concat(_alike(F.substring_index(norm, "@", 1), seed), F.lit("@"), _alike(F.lit("aaaaaa"), domain), F.lit(".example.org")))
         .when(kind == "secret", F.when(norm.rlike("^[0-9a-f]+$"), _hex(norm, seed)).otherwise(
             F.concat(F.regexp_extract(norm, "^(AKIA|gh._|sk-)", 1), _alike(F.regexp_replace(norm, "^(AKIA|gh._|sk-)", ""), seed))))
-        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _alike(F.substr(norm, F.lit(3)), seed)))
+        .when(kind == "iban", _iban(norm, seed))
         .when(kind == "ip", F.concat_ws(".", *map(octet, range(4))))
         .when(kind == "phone", F.concat(code, F.when(code != "", F.lit("_")).otherwise(F.lit("")), _alike(F.regexp_replace(norm, r"^\+\d{1,3}_", ""), seed)))
         .when(kind == "card", _card(norm, seed))

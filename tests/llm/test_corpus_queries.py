@@ -233,6 +233,21 @@ def test_pii(spark):
     assert pii.replaced(docs_of(spark, []), "k").count() == 0
 
 
+def test_iban_check_digits(spark):
+    """A valid number stays valid, another does not become so, and country, length and layout stay."""
+    mod97 = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    good = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    bad = ["DE88370400440532013000", "GB00NWBK60161331926819", *(f"NL{i:02d}ABNA0417164300" for i in range(100) if i != 91)]
+    assert [mod97(x) for x in good] == [1] * 3
+    out = [r.text for r in pii.replaced(docs_of(spark, [f"to {x} now" for x in good + bad]), "k").orderBy("doc_id").collect()]
+    assert len(out) == len(set(out)) == len(good + bad)
+    for before, text in zip(good + bad, out, strict=True):
+        m = re.fullmatch("to (.*) now", text)
+        shape = lambda x: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x))
+        assert m[1] != before and m[1][:2] == before[:2] and shape(m[1]) == shape(before)
+        assert (mod97(m[1]) == 1) == (mod97(before) == 1)
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(60)] + [("given_m_latin", f"n{i}") for i in range(40)], "kind string, norm string")
     got = pii.surrogates(entities, "k").collect()
@@ -267,6 +282,21 @@ def test_toxicity_stage(spark):
     assert kept.count() == 4 and kept.columns == df.columns
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Only texts within the bound reach the fit, whole; of repeated rows the shortest."""
+    rows = [(i, "x" * n) for i, n in enumerate([10, 20, 5000, 30, 40, 7, 9, 3, 60, 50])] + [(i, None) for i in (20, 21)] + [(3, "y" * 900)] * 50
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, prior=None: seen.update(texts=texts, toxic=toxic))
+    toxicity.train(docs, labels, toxicity.Bounds(rows=100, chars=300))
+    learned = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    want = sorted((t or "", i % 2) for i, t in rows if learned(i) and len(t or "") < 900)
+    assert sorted(zip(seen["texts"], seen["toxic"], strict=True)) == want
+    toxicity.train(docs, labels, toxicity.Bounds(rows=100, chars=0))
+    assert set(seen["texts"]) <= {""}
+
+
 def test_html_fixtures():
     page = """<html><head><title>T</title></head><body><nav>menu</nav><div class="cookie-notice">ok?</div><article><h1>A &amp; B</h1>
     <p>one <b>two</b><br>three<p>four<ul><li>x<li>y</ul><aside>side</aside><div class="comments"><p>me too</p></div><script>var a="<p>";</script></article>
