@@ -301,3 +301,19 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) ->
     """`docs` without those that are not the smallest doc_id of their component; all columns stay."""
     gone = materialize(near_duplicates(docs, percent, width).where("NOT kept").select("doc_id").distinct(), "dropped")
     return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def sql(percent: int = 85, width: int = 5) -> str:
+    """Exact components in DuckDB's SQL, by counting the shared shingles of all pairs (small tables only)."""
+    return (
+        "WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), "
+        f"s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {width - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 2}, least(len(w), 1) + 1))) AS i FROM d)), "
+        "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), "
+        "p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY x, y), "
+        f"e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= {percent} * (a.n + b.n - k)), "
+        "both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), "
+        "c AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT y, r FROM c JOIN both_ways ON x = doc_id WHERE r < y), "
+        "m AS (SELECT doc_id, min(r) AS r FROM c GROUP BY doc_id) "
+        "SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, d.doc_id) AS component_id, coalesce(r, d.doc_id) = d.doc_id AS kept "
+        "FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"
+    )

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessel.llm import chat, decontaminate, hamming_search, html_text, pii, sentencepiece, substring_dedup, toxicity, url_rules
+from tessel.llm import chat, decontaminate, hamming_search, html_text, near_dup, pii, sentencepiece, substring_dedup, toxicity, url_rules
 from tessel.llm.common import read
-from tessel.llm.near_dup import near_duplicates
 
 #: Where the vocabulary lies; copy it to the same place on every driver.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -58,7 +57,7 @@ def op9_url_rules(spark, d):
 
 
 def op10_near_dup(spark, d):
-    return near_duplicates(read(spark, d, "documents"), percent=85)
+    return near_dup.near_duplicates(read(spark, d, "documents"), percent=85)
 
 
 QUERIES = {
@@ -78,4 +77,5 @@ ORACLE_SQL = {
     "op3_decontaminate": decontaminate.sql(),
     "op4_chat_format": chat.sql(),
     "op9_url_rules": url_rules.sql(),
+    "op10_near_dup": near_dup.sql(),
 }
