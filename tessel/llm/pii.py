@@ -213,8 +213,9 @@ def _replaced(docs: DataFrame, key: str, count: str) -> DataFrame:
     at = "__pii_key"
     while at in docs.columns:
         at += "_"
-    hit = docs.where(F.col("text").rlike(ANY))
-    raw = hit.select(F.xxhash64("text").alias(at), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("raw")).distinct()
+    # The patterns cost more than all else: rows that hold something are written once, and no later step tries the others.
+    hit = materialize(docs.where(F.col("text").rlike(ANY)).withColumn(at, F.xxhash64("text")), "hits")
+    raw = hit.select(at, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("raw")).distinct()
     raw = materialize(raw, "matches")
     forms = materialize(
         raw.select("raw").distinct().withColumn("form", _kind(F.col("raw"))).select("raw", "form", F.posexplode(_parts(F.col("raw"), F.col("form"))).alias("nth", "part"))
@@ -233,7 +234,7 @@ def _replaced(docs: DataFrame, key: str, count: str) -> DataFrame:
     text = F.array_join(
         F.zip_with(gaps, found, lambda g, e: F.concat(F.coalesce(g, F.lit("")), F.coalesce(F.element_at("__pii_map", e), F.lit("")))), ""
     )
-    keyed = hit.withColumn(at, F.xxhash64("text")).join(maps, at)
+    keyed = hit.join(maps, at)
     return keyed.withColumns({count: F.size(found).cast("long"), "text": text}).drop(at, "__pii_map")
 
 
