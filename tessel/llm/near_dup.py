@@ -233,9 +233,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     Texts whose sets of `width`-word shingles have 100 * intersection >=
     percent * union are linked; component_id is the smallest doc_id reachable
     and kept marks it. A null or empty text, or one without words, has no
-    shingles and is linked with nothing. Rows that repeat a doc_id are one
-    document: each row is returned with its own n_shingles and the component of
-    the id. A row without doc_id has a null component and is kept. Other
+    shingles and is linked with nothing. Rows that repeat a doc_id with the same
+    text are one document and are all returned, with the same result; if their
+    texts differ, each row has its own n_shingles and the component of its text,
+    and links of one of the texts may be missed. A row without doc_id has a null component and is kept. Other
     columns, whatever their names, are not read. An empty table gives an empty
     one.
     """
