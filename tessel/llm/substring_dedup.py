@@ -3,7 +3,8 @@
 A text is cut into sentences, a sentence of more than LONG words into pieces of
 LONG words, so that a passage of 50 words is at least three of them. Every run of
 RUN consecutive sentences is hashed; the hashes are joined over all documents;
-sentences covered by a run that is not the first of its kind are removed.
+sentences covered by a run that is not the first of its kind are removed. A text
+of fewer than RUN sentences has no run and stays.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import batches
 
-RUN, LONG, LEAST_WORDS = 3, 16, 10
+RUN, LONG = 3, 16
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\S+")
 
@@ -37,12 +38,11 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def runs(text: str | None) -> list[tuple[int, int]]:
-    """(hash, number of the first sentence) of each run; short ones of few words do not count."""
+    """(hash, number of the first sentence) of each run, however few words it has."""
     s = sentences(text or "")
     return [
         (xxhash.xxh3_64_intdigest("\n".join(x[2] for x in s[i : i + RUN])) - (1 << 63), i)
         for i in range(len(s) - RUN + 1)
-        if sum(x[3] for x in s[i : i + RUN]) >= LEAST_WORDS
     ]
 
 

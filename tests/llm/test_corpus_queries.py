@@ -117,6 +117,14 @@ def test_substring_dedup(spark):
     assert substring_dedup.deduplicated(docs_of(spark, [])).count() == 0
 
 
+def test_substring_dedup_short_sentences(spark):
+    """Lists, verse and dialogue repeat too: runs of few words count as all others do."""
+    dialogue = "\n".join(f"No {i}! Who?" for i in range(40))
+    texts = [dialogue, f"Before it.\n{dialogue}\nAnd what follows.", dialogue, "Yes. No. Maybe.", "Yes. No. Maybe.", "Yes. No.", "Yes. No."]
+    got = {r.doc_id: r.text for r in substring_dedup.deduplicated(docs_of(spark, texts)).collect()}
+    assert got == {1: "Before it.\nAnd what follows.", 2: "", 4: ""}
+
+
 def test_hamming_search_brute_force(spark):
     rnd = random.Random(2)
     codes = [rnd.getrandbits(64) - 2**63 for _ in range(300)]
