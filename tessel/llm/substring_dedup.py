@@ -1,10 +1,12 @@
 """Substring deduplication over sliding runs of sentences.
 
-A text is cut into sentences, a sentence of more than LONG words into pieces of
-LONG words, so that a passage of 50 words is at least three of them. Every run of
-RUN consecutive sentences is hashed; the hashes are joined over all documents;
-sentences covered by a run that is not the first of its kind are removed. A text
-of fewer than RUN sentences has no run and stays.
+A text is cut into sentences, a sentence of more than LONG words into pieces. A
+piece begins at a word whose hash is the least among its NEAR neighbours on either
+side, so that the same passage is cut alike whatever stands before it; where no
+such word comes within LONG words (in repetitive text), at the word of least hash
+in reach. Every run of RUN consecutive sentences is hashed; the hashes are joined
+over all documents; sentences covered by a run that is not the first of its kind
+are removed. A text of fewer than RUN sentences has no run and stays.
 """
 
 from __future__ import annotations
@@ -12,38 +14,75 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import batches
-
-RUN, LONG = 3, 16
-_END = re.compile(r"(?<=[.!?])\s+|\n+")
-_WORD = re.compile(r"\S+")
+from tessel.llm.common import batches, mixed
+
+RUN, LONG, NEAR = 3, 16, 3
+_END = re.compile(r"(?<=[.!?\u061f\u06d4\u0964])\s+|(?<=[\u3002\uff01\uff0e\uff1f\uff61])\s*|\n+")
+#: Scripts that put no spaces between words: each character counts as a word.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_DENSE}]|[^\s{_DENSE}]+")
+_SPACED = re.compile(r"\S+")
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+
+
+def _starts(ws: list[str]) -> list[int]:
+    """Numbers of the words at which the pieces of a long sentence begin."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+    n = len(h) - 2 * NEAR
+    mid = h[NEAR : NEAR + n]
+    # Of equal words the first counts: less than those before, not more than those after.
+    least = np.logical_and.reduce([mid < h[i : i + n] for i in range(NEAR)] + [mid <= h[i : i + n] for i in range(NEAR + 1, 2 * NEAR + 1)])
+    out = [0]
+    for stop in [*(np.flatnonzero(least) + NEAR).tolist(), len(h)]:
+        while stop - out[-1] > LONG:
+            at = out[-1] + NEAR + 1
+            out.append(at + int(np.argmin(h[at : min(out[-1] + LONG, stop - NEAR - 1) + 1])))
+        out.append(stop)
+    return out[:-1]
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised text, words) of each sentence or piece, in order."""
     out, at = [], 0
+    dense = not text.isascii() and _HAS_DENSE.search(text)
     cuts = [(m.start(), m.end()) for m in _END.finditer(text)] + [(len(text), len(text))]
     for stop, nxt in cuts:
-        ws = list(_WORD.finditer(text, at, stop))
-        for k in range(0, len(ws), LONG):
-            part = ws[k : k + LONG]
-            out.append((part[0].start(), part[-1].end(), " ".join(w.group().lower() for w in part), len(part)))
+        part = text[at:stop]
+        ws = _WORD.findall(part.lower()) if dense else part.lower().split()
+        if 0 < len(ws) <= LONG:
+            out.append((stop - len(part.lstrip()), at + len(part.rstrip()), " ".join(ws), len(ws)))
+        elif ws:
+            found = list((_WORD if dense else _SPACED).finditer(text, at, stop))
+            ws = [w.group().lower() for w in found]
+            starts = _starts(ws)
+            for i, j in zip(starts, [*starts[1:], len(ws)], strict=True):
+                out.append((found[i].start(), found[j - 1].end(), " ".join(ws[i:j]), j - i))
         at = nxt
     return out
 
 
+def _hashes(text: str | None) -> np.ndarray:
+    """Hash of the run that begins at each sentence, as far as there is one."""
+    s = sentences(text or "")
+    n = len(s) - RUN + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x[2]) for x in s), np.uint64, len(s))
+    acc = h[:n]
+    for i in range(1, RUN):
+        acc = mixed(acc) + h[i : i + n]
+    return mixed(acc).view(np.int64)
+
+
 def runs(text: str | None) -> list[tuple[int, int]]:
     """(hash, number of the first sentence) of each run, however few words it has."""
-    s = sentences(text or "")
-    return [
-        (xxhash.xxh3_64_intdigest("\n".join(x[2] for x in s[i : i + RUN])) - (1 << 63), i)
-        for i in range(len(s) - RUN + 1)
-    ]
+    return [(h, i) for i, h in enumerate(_hashes(text).tolist())]
 
 
 def without(text: str, firsts: list[int]) -> tuple[str, int]:
@@ -67,12 +106,15 @@ def without(text: str, firsts: list[int]) -> tuple[str, int]:
 
 def _emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it):
-        ids, hashes, firsts = [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for h, k in runs(text):
-                ids.append(i), hashes.append(h), firsts.append(k)
+        found = [_hashes(t) for t in b.column(1).to_pylist()]
+        counts = [len(h) for h in found]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32())], names=["h", "doc_id", "at"]
+            [
+                pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64()),
+                pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts), pa.int64()),
+                pa.array(np.concatenate([np.empty(0, np.int32), *(np.arange(n, dtype=np.int32) for n in counts)]), pa.int32()),
+            ],
+            names=["h", "doc_id", "at"],
         )
 
 

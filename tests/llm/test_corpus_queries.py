@@ -125,6 +125,31 @@ def test_substring_dedup_short_sentences(spark):
     assert got == {1: "Before it.\nAnd what follows.", 2: "", 4: ""}
 
 
+def test_substring_dedup_lead_ins(spark):
+    """Text without sentence ends: a passage is found behind any lead-in, and nothing else goes (brute force)."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    words = lambda n: [word() for _ in range(n)]
+    texts, shared = [], []
+    for n in [50] * 20 + [60] * 20 + [120, 500] * 5:
+        passage = words(n)
+        texts += [" ".join(words(5) + passage + words(20)), " ".join(words(8 + rnd.randrange(16)) + passage + words(7))]
+        shared.append(passage)
+    han = "".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(80))
+    texts += [f"\u4e00\u4e01{han}", f"\u4e03{han}", "same " * 5000, "x " + "same " * 200]
+    got = {r.doc_id: r.text for r in substring_dedup.deduplicated(docs_of(spark, texts)).collect()}
+    for i, passage in enumerate(shared):
+        before, left = texts[2 * i + 1].split(), got[2 * i + 1].split()
+        lead = " ".join(before).index(" ".join(passage))
+        lead = len(" ".join(before)[:lead].split())
+        gone = len(before) - len(left)
+        at = next(k for k in range(len(left) + 1) if before[:k] + before[k + gone :] == left)
+        assert lead <= at and at + gone <= lead + len(passage) and gone >= 12
+        assert len(passage) < 120 or gone >= 0.6 * len(passage)
+    n = 2 * len(shared)
+    assert all(2 * i not in got for i in range(len(shared))) and len(got[n + 1]) <= 41 and len(got[n + 3].split()) < 40
+
+
 def test_hamming_search_brute_force(spark):
     rnd = random.Random(2)
     codes = [rnd.getrandbits(64) - 2**63 for _ in range(300)]
