@@ -26,8 +26,9 @@ from tessel.llm.common import batches, materialize, small
 #: A host with fewer distinct pages tells nothing; below LOW a node is noise; weight of content against presentation.
 PAGES, LOW, CONTENT = 4, 0.3, 0.9
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"]{0,10000}"|'[^']{0,10000}')*+)>""", re.DOTALL)
-_ATTR = re.compile(r"""([a-zA-Z\-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# A quote that is never closed is a character like others, so its tag ends at the next bracket.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"]*+"|'[^']*+'|["'])*+)>""", re.DOTALL)
+_ATTR = re.compile(r"""(?<![a-zA-Z\-])([a-zA-Z\-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^a-z]+")

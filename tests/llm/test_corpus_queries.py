@@ -340,6 +340,16 @@ def test_html_fixtures():
     assert len(html_text.parse("<p>" * 20000 + "x" * 100000)[0]) == 1
 
 
+def test_html_long_attributes():
+    """A quoted value may have any length; a quote without an end does not swallow or leak its tag."""
+    long = "ab/+ <" * 17000
+    page = f"""<body><p>one</p><img src="data:{long}"><aside data-props='{long}'>side</aside><p title="{long}">two</p></body>"""
+    texts = lambda page: [t for _, t, _ in html_text.parse(page)[0]]
+    assert texts(page) == ["one", "two"]
+    assert texts('<p>one</p><p title="open>two</p><p>three</p>') == ["one", "two", "three"]
+    assert texts("<p>it</p>" + "<b \"<i '" * 30000 + f"<p {'a' * 200000}>end</p>")[-1] == "end"
+
+
 def test_html_site_style_tree(spark):
     made = lambda i: (i, "http://h.example/p", f'<body><div class="top">Welcome to us</div><div class="body"><p>Story {i} of its own.</p></div></body>', 1)
     rows = [made(i) for i in range(8)] + [(90, None, None, 1), (91, "http://h.example/x", "", 1), (92, "http://other/", "<p>alone</p>", 1), (92, "http://other/", "<p>alone</p>", 1)]
