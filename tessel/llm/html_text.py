@@ -31,7 +31,6 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _ATTR = re.compile(r"""(?<![a-zA-Z\-])([a-zA-Z\-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
-_WORDS = re.compile(r"[^a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -40,6 +39,8 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription comment comments replies respond disqus related recommended share sharing social widget toolbar masthead".split()
 )
+#: Elements that no class or id makes noise.
+WHOLE = frozenset("html body main article".split())
 #: Start tags that end an open paragraph, and those that end an open one of their group.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = [frozenset(x.split()) for x in ("li", "dt dd", "tr", "td th", "option", "thead tbody tfoot")]
@@ -47,11 +48,17 @@ _SCOPE = frozenset("ul ol table dl article section div main body".split())
 
 
 def _noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether tag, role or state make a branch noise."""
     if tag in SKIPPED or (tag == "header" and not inside) or attrs.get("role") in SKIPPED_ROLES:
         return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    names = set(_WORDS.split(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+
+
+def _noise_name(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether a whole class or id makes a branch noise; names that merely contain such a word are left to the style tree."""
+    if tag in WHOLE:
+        return False
+    names = set(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
     return bool(names & NOISE) or (not inside and "header" in names)
 
 
@@ -59,10 +66,11 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]
     """(path, text, plain) of each block in page order, and the layout (child tags) of each path.
 
     Noise branches are left out; so is what lies outside article or main, if the
-    page has one. plain: in article or main, with no class or id below it.
+    page has one. An outermost article or main is read also within a branch that
+    only its class or id marks as noise. plain: in article or main, with no class or id below it.
     """
     page = page or ""
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, skipped, inside, styled inside
+    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, path, skipped (1: by name only), inside, styled inside
     blocks: list[tuple[str, str, bool, bool]] = []
     layout: dict[str, list[str]] = {}
     text: list[str] = []
@@ -72,7 +80,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                top = next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", False, False, False))
+                top = next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", 0, False, False))
                 blocks.append((top[1], joined, top[3] and not top[4], top[3]))
 
     def close(n: int) -> None:
@@ -120,14 +128,18 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]
         attrs = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTR.findall(m[3])} if m[3] else {}
         if re.search(r"(?:^|\s)hidden(?:\s|$|=|/)", m[3]):
             attrs["hidden"] = ""
-        parent = stack[-1] if stack else ("", "", False, False, False)
+        parent = stack[-1] if stack else ("", "", 0, False, False)
         main = tag in ("article", "main") or attrs.get("role") in ("main", "article")
         inside = parent[3] or main
-        skipped = parent[2] or _noise(tag, attrs, inside)
+        skipped = 0 if main and not parent[3] and parent[2] == 1 else parent[2]
+        if _noise(tag, attrs, inside):
+            skipped = 2
+        elif not skipped and not main and _noise_name(tag, attrs, inside):
+            skipped = 1
         if tag in RAW and tag not in VOID:
             shut = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(page, at)
             at = shut.start() if shut else end
-            skipped = True
+            skipped = 2
         if tag in VOID:
             continue
         name = _DIGITS.sub("#", " ".join(filter(None, (attrs.get("class"), attrs.get("id")))))

@@ -350,6 +350,22 @@ def test_html_long_attributes():
     assert texts("<p>it</p>" + "<b \"<i '" * 30000 + f"<p {'a' * 200000}>end</p>")[-1] == "end"
 
 
+def test_html_names_do_not_drop_pages(spark):
+    """A word of noise within a class of the page, its article or their ancestors drops nothing."""
+    texts = lambda page: [t for _, t, _ in html_text.parse(page)[0]]
+    for opened, closed in [
+        ('<body class="has-sidebar">', "</body>"), ('<body class="sidebar no-comments">', "</body>"), ('<html id="nav"><body>', "</body></html>"),
+        ('<body><div id="content" class="with-sidebar">', "</div></body>"), ('<body><article class="post has-comments">', "</article></body>"),
+        ('<body><main class="related">', "</main></body>"), ('<body><div class="social"><article>', "</article>like us</div></body>"),
+        ('<div class="banner">ad<section><div role="main">', "</div></section></div>"),
+    ]:
+        assert texts(f'{opened}<p>Text.</p><div class="ad">buy</div>{closed}') == ["Text."], opened
+    assert texts('<div hidden><article>no</article></div><article>yes<div class="comments"><article>me too</article></div></article>') == ["yes"]
+    made = lambda i: (i, "http://n.example/p", f'<body class="has-sidebar"><div class="cookie-bar">We bake.</div><div class="with-sidebar">Story {i}.</div></body>')
+    df = spark.createDataFrame([made(i) for i in range(8)], "page_id long, url string, html string")
+    assert sorted(r.text for r in html_text.extract(df).collect()) == [f"Story {i}." for i in range(8)]
+
+
 def test_html_site_style_tree(spark):
     made = lambda i: (i, "http://h.example/p", f'<body><div class="top">Welcome to us</div><div class="body"><p>Story {i} of its own.</p></div></body>', 1)
     rows = [made(i) for i in range(8)] + [(90, None, None, 1), (91, "http://h.example/x", "", 1), (92, "http://other/", "<p>alone</p>", 1), (92, "http://other/", "<p>alone</p>", 1)]
