@@ -26,7 +26,7 @@ PATTERNS = {
     "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "phone": r"(?<![\w.])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\w)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.\-])\d{3}-\d{3}-\d{4}(?![\w\-])",
+    "phone": r"(?<![\w.])\+[1-9](?:[ .\-/]?\(?\d\)?){6,14}+(?!\w)|(?<![\w.\-])\d{3}\.\d{3}\.\d{4}(?![\w\-]|\.\d)|(?<![\w.\-]|\d )\d{3} \d{3} \d{4}(?![\w\-]| \d)|(?<![\w.])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\w)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.\-])\d{3}-\d{3}-\d{4}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "name": rf"(?<![\w])(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,30}}+(?: \p{{Lu}}\p{{L}}{{1,30}}+)?",
@@ -34,6 +34,8 @@ PATTERNS = {
 #: Draws for one entity. Formats have 10**9 values and more, names grow with each draw.
 ATTEMPTS = 40
 ANY = "|".join(PATTERNS.values())
+#: Country calling codes: those of one and two digits, all others have three.
+_CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 # Name lists: our own choice of common given names.
 GIVEN = {
@@ -155,8 +157,9 @@ def _drawn(kind: Column, norm: Column, attempt: Column, seed: Column, domain: Co
 def _parts(raw: Column, kind: Column) -> Column:
     """The entities in a match: array of (kind, norm). A name has up to two, else there is one."""
     digits = F.regexp_replace(raw, r"\D", "")
-    code = F.regexp_extract(raw, r"^(\+\d{1,3}?)(?=[ .\-(])", 1)
-    phone = F.when(code != "", F.concat(code, F.lit("_"), F.substr(digits, F.length(code)))).otherwise(digits)
+    # By the digits alone, so that a number has one norm with separators and without.
+    code = F.regexp_extract(digits, _CALLING, 0)
+    phone = F.when(raw.startswith("+"), F.concat(F.lit("+"), code, F.lit("_"), F.substr(digits, F.length(code) + 1))).otherwise(digits)
     bare = F.split(F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", ""), " ")
     script = F.when(raw.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     gender = F.when(raw.rlike(_FEMALE), F.lit("f")).otherwise(F.lit("m"))

@@ -266,6 +266,23 @@ def test_pii(spark):
     assert pii.replaced(docs_of(spark, []), "k").count() == 0
 
 
+def test_pii_phone_formats(spark):
+    """A number keeps its calling code and layout, and has one surrogate in all formats."""
+    forms = [
+        "+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+49 30 12345678", "+493012345678", "+49 151 23456789", "+4915123456789",
+        "+33 6 12 34 56 78", "555.123.4567", "555 123 4567", "555-123-4567",
+    ]
+    others = ["version 1.555.123.4567", "1 555 123 4567 8", "in 2024 100 200 of 3000"]
+    out = {r.doc_id: r.text for r in pii.replaced(docs_of(spark, [f"call {x}, now" for x in forms] + others), "k").collect()}
+    assert set(out) == set(range(len(forms)))
+    made = [re.fullmatch("call (.*), now", out[i])[1] for i in range(len(forms))]
+    digits = [re.sub(r"\D", "", x) for x in made]
+    for before, after in zip(forms, made, strict=True):
+        assert before != after and re.sub(r"\d", "0", before) == re.sub(r"\d", "0", after)
+    assert digits[0] == digits[1] == digits[2] and digits[3] == digits[4] and digits[5] == digits[6] and digits[8] == digits[9] == digits[10]
+    assert all(x.startswith("+1") for x in made[:3]) and all(x.startswith("+49") for x in made[3:7]) and made[7].startswith("+33")
+
+
 def test_iban_check_digits(spark):
     """A valid number stays valid, another does not become so, and country, length and layout stay."""
     mod97 = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
