@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.columns import unused
 from tessel.sources.shared import materialize
 
 
@@ -15,7 +16,7 @@ def with_ordinal(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame
     number for each partition, all that the driver sees) is added. No partition
     holds more than its range, unlike a window without partitions.
     """
-    part, at = "__part", "__at"
+    part, at, first = (unused([*df.columns, name], x) for x in ("__part", "__at", "__start"))
     placed = materialize(
         df.orderBy(*order).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "ordinal"
     )
@@ -26,10 +27,10 @@ def with_ordinal(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame
         total += row["count"]
     if not offsets:
         return placed.drop(part, at).withColumn(name, F.lit(0).cast("long"))
-    start = df.sparkSession.createDataFrame(list(offsets.items()), f"{part} int, __start long")
+    start = df.sparkSession.createDataFrame(list(offsets.items()), f"{part} int, {first} long")
     within = F.col(at) - F.shiftleft(F.col(part).cast("long"), 33)
     # One row for each partition of a sort: bounded by the number of tasks.
-    return placed.join(F.broadcast(start), part).withColumn(name, F.col("__start") + within).drop(part, at, "__start")
+    return placed.join(F.broadcast(start), part).withColumn(name, F.col(first) + within).drop(part, at, first)
 
 
 def batch_id(row_idx: Column, size: int = 8) -> Column:
@@ -37,8 +38,8 @@ def batch_id(row_idx: Column, size: int = 8) -> Column:
 
 
 def positional_join(left: DataFrame, right: DataFrame, idx: str = "row_idx") -> DataFrame:
-    """Joins rows of equal position; raises if the sides differ in length."""
-    n, m = left.count(), right.count()
-    if n != m:
-        raise ValueError(f"{n} rows cannot be aligned with {m}")
+    """Joins rows of equal position; raises if a position of either side is missing or repeated on the other."""
+    n, m, rows = left.count(), right.count(), left.select(idx).join(right.select(idx), idx, "full_outer").count()
+    if not n == m == rows:  # no position is alone, and none is there twice
+        raise ValueError(f"{n} rows cannot be aligned with {m}: their positions differ or are repeated")
     return left.join(right, idx)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib import import_module
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -31,7 +32,8 @@ Generator = Callable[[list[str], Decoding], list[str]]
 def generator(load: Callable[[], Generator], decoding: Decoding = BATCH) -> Callable[[Column], Column]:
     """A Column function that generates text for prompts.
 
-    `load` runs once in each worker; an error in it fails the task. The function
+    `load` runs once in each worker; an error in it fails the task. A null prompt
+    is not generated from and gives null. The function
     is marked nondeterministic, or a filter on its output would plan it twice.
     """
 
@@ -39,7 +41,11 @@ def generator(load: Callable[[], Generator], decoding: Decoding = BATCH) -> Call
         model = load()
 
         def predict(prompts: np.ndarray) -> np.ndarray:
-            return np.array(model([str(p) for p in prompts], decoding), dtype=object)
+            asked = [i for i, p in enumerate(prompts) if p is not None]
+            out = np.full(len(prompts), None, dtype=object)
+            if asked:
+                out[asked] = model([str(prompts[i]) for i in asked], decoding)
+            return out
 
         return predict
 
@@ -47,6 +53,42 @@ def generator(load: Callable[[], Generator], decoding: Decoding = BATCH) -> Call
     return udf.asNondeterministic() if hasattr(udf, "asNondeterministic") else udf
 
 
+@dataclass(frozen=True)
+class Model:
+    """Which model a worker loads, and how. `four_bit` loads quantised weights and computes in `dtype`."""
+
+    name: str
+    dtype: str = "float16"
+    device_map: str = "auto"
+    cache_dir: str | None = None
+    four_bit: bool = False
+
+
+def text_model(settings: Model, libraries: Callable[[str], object] = import_module) -> Callable[[], Generator]:
+    """A `load` for `generator`: a causal language model behind a text-generation pipeline.
+
+    The libraries are imported, and the model is loaded, in the worker; what fails there fails the task.
+    """
+
+    def load() -> Generator:
+        torch, lib = libraries("torch"), libraries("transformers")
+        dtype = getattr(torch, settings.dtype)
+        options = {"device_map": settings.device_map, "cache_dir": settings.cache_dir, "torch_dtype": dtype}
+        if settings.four_bit:
+            options["quantization_config"] = lib.BitsAndBytesConfig(load_in_4bit=True, bnb_4bit_compute_dtype=dtype)
+        weights = lib.AutoModelForCausalLM.from_pretrained(settings.name, **options)
+        words = lib.AutoTokenizer.from_pretrained(settings.name, cache_dir=settings.cache_dir)
+        run = lib.pipeline("text-generation", model=weights, tokenizer=words)
+
+        def generate(prompts: list[str], d: Decoding) -> list[str]:
+            said = run(prompts, max_new_tokens=d.max_new_tokens, temperature=d.temperature, top_p=d.top_p, do_sample=d.do_sample, batch_size=d.batch_size)
+            return [first[0]["generated_text"] for first in said]
+
+        return generate
+
+    return load
+
+
 def load_stub() -> Generator:
     """Echoes the prompt and answers with the number of its characters modulo 13."""
     return lambda prompts, _: [f"{p} 정답은 {len(p) % 13}번" for p in prompts]

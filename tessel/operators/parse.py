@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions import textops as X
+from tessel.functions.columns import unused
 
 
 def option_count(text: Column) -> Column:
@@ -17,13 +18,21 @@ def is_multiple_choice(text: Column) -> Column:
     return option_count(text) >= 2
 
 
+def options_of(lines: Column) -> Column:
+    return F.transform(F.filter(lines, X.is_option_line), X.strip)
+
+
+def stem_of(lines: Column) -> Column:
+    """The other lines, each stripped, joined by one space; empty ones stay."""
+    return F.array_join(F.transform(F.filter(lines, lambda x: ~X.is_option_line(x)), X.strip), " ")
+
+
 def options(text: Column) -> Column:
-    return F.transform(F.filter(X.lines(text), X.is_option_line), X.strip)
+    return options_of(X.lines(text))
 
 
 def stem(text: Column) -> Column:
-    """The other lines, each stripped, joined by one space; empty ones stay."""
-    return F.array_join(F.transform(F.filter(X.lines(text), lambda x: ~X.is_option_line(x)), X.strip), " ")
+    return stem_of(X.lines(text))
 
 
 def with_question(df: DataFrame, text: str, strict: bool = True) -> DataFrame:
@@ -34,13 +43,15 @@ def with_question(df: DataFrame, text: str, strict: bool = True) -> DataFrame:
     source = F.col(text)
     if strict:
         source = F.when(source.isNotNull(), source).otherwise(F.raise_error(F.lit("a question is null")).cast("string"))
-    return df.withColumns(
+    asked, lines = unused(df.columns, "__asked"), unused(df.columns, "__lines")
+    split = df.withColumn(asked, source).withColumn(lines, X.lines(F.col(asked)))
+    return split.withColumns(
         {
-            "n_options": option_count(source).cast("long"),
-            "question": stem(source),
-            "options": options(source),
+            "n_options": option_count(F.col(asked)).cast("long"),
+            "question": stem_of(F.col(lines)),
+            "options": options_of(F.col(lines)),
         }
-    ).withColumn("is_mc", F.col("n_options") >= 2)
+    ).withColumn("is_mc", F.col("n_options") >= 2).drop(asked, lines)
 
 
 def option_lines(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,7 +7,7 @@ which are options.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import textops as X
@@ -55,29 +55,29 @@ def option_lines_exploded(spark, d):
     )
 
 
+def _parts() -> prompts.Parsed:
+    """The columns of `parse.with_question`."""
+    return prompts.Parsed(F.col("is_mc"), F.col("question"), F.col("options"))
+
+
 def _split(table: str, key: str):
     def query(spark, d):
-        q = F.col("q")
-        return asked(read(spark, d, table), key).select(
-            key, parse.stem(q).alias("question"), F.array_join(parse.options(q), "|").alias("options")
-        )
+        return parse.with_question(asked(read(spark, d, table), key), "q").select(key, "question", F.array_join("options", "|").alias("options"))
 
     return query
 
 
 def _prompt(strategy: str, template: prompts.Template):
     def query(spark, d):
-        return asked(read(spark, d, "benchmark"), "item_id").select(
-            "item_id", prompts.prompt(F.col("q"), strategy, template).alias("prompt")
-        )
+        df = parse.with_question(asked(read(spark, d, "benchmark"), "item_id"), "q")
+        return df.select("item_id", prompts.prompt(F.col("q"), strategy, template, _parts()).alias("prompt"))
 
     return query
 
 
 def prompt_preview(spark, d):
-    return asked(read(spark, d, "documents"), "doc_id").select(
-        "doc_id", X.preview(prompts.few_shot(F.col("q"))).alias("preview")
-    )
+    df = parse.with_question(asked(read(spark, d, "documents"), "doc_id"), "q")
+    return df.select("doc_id", prompts.preview(F.col("q"), parsed=_parts()).alias("preview"))
 
 
 def question_projection(spark, d):
@@ -94,24 +94,22 @@ def batch_assignment(spark, d):
     return df.select("item_id", align.batch_id(F.col("row_idx")).alias("batch_id"))
 
 
-def _generated(spark, d, template=prompts.Template()):
-    df = asked(read(spark, d, "documents"), "doc_id").withColumn("p", prompts.few_shot(F.col("q"), template))
+def _generated(spark, d):
+    df = parse.with_question(asked(read(spark, d, "documents"), "doc_id"), "q").withColumn("p", prompts.prompt(F.col("q"), parsed=_parts()))
     return df.withColumn("g", stub("doc_id"))
 
 
 def extract_v2(spark, d):
-    is_mc = parse.is_multiple_choice(F.col("q"))
-    return _generated(spark, d).select("doc_id", answers.extract(F.col("g"), is_mc, F.col("p")).alias("answer"))
+    return answers.with_answer(_generated(spark, d), "g", "is_mc", "p").select("doc_id", "answer")
 
 
 def extract_v1(spark, d):
-    is_mc = parse.is_multiple_choice(F.col("q"))
-    return _generated(spark, d).select("doc_id", answers.extract_keeping_prompt(F.col("g"), is_mc).alias("answer"))
+    return _generated(spark, d).select("doc_id", answers.extract_keeping_prompt(F.col("g"), F.col("is_mc")).alias("answer"))
 
 
 def extract_first_option(spark, d):
     return _generated(spark, d).select(
-        "doc_id", answers.extract_or_first_option(F.concat("p", F.lit(" 모름")), F.col("q")).alias("answer")
+        "doc_id", answers.extract_or_first_option(F.concat("p", F.lit(" 모름")), F.col("is_mc"), F.col("options")).alias("answer")
     )
 
 
@@ -141,10 +139,31 @@ def answer_count(spark, d):
     return extract_v2(spark, d).agg(F.count("answer").alias("n"))
 
 
-def generate_batched(spark, d):
-    model = generate.generator(generate.load_stub)
-    df = asked(read(spark, d, "benchmark"), "item_id").select("item_id", prompts.few_shot(F.col("q")).alias("p"))
-    return df.select("item_id", model(F.col("p")).alias("generated"))
+def _generate(strategy: str, decoding: generate.Decoding):
+    def query(spark, d):
+        model = generate.generator(generate.load_stub, decoding)
+        df = parse.with_question(asked(read(spark, d, "benchmark"), "item_id"), "q")
+        return df.select("item_id", model(prompts.prompt(F.col("q"), strategy, parsed=_parts())).alias("generated"))
+
+    return query
+
+
+def observed_counts(spark, d):
+    """Questions and answers, counted by the job that writes the answers."""
+    seen = Observation("counts")
+    df = asked(read(spark, d, "documents"), "doc_id")
+    out = answering.answer(df, "q", lambda p: F.concat(p, F.lit(" 정답은 "), (F.col("doc_id") % 13).cast("string"), F.lit("번")), observation=seen)
+    out.select("doc_id", "answer").write.parquet(shared.new_path(spark, "answers"))
+    return spark.createDataFrame([(seen.get["n_questions"], seen.get["n_answers"])], "n_questions long, n_answers long")
+
+
+def questions_scan(spark, d):
+    """Two question files with cells of several lines, read as one table of positions."""
+    path = shared.new_path(spark, "questions")
+    df = asked(read(spark, d, "benchmark"), "item_id")
+    for name, half in (("a", F.col("item_id") % 2 == 0), ("b", F.col("item_id") % 2 == 1)):
+        tables.write_questions(df.where(half).withColumnRenamed("q", "Question"), f"{path}/{name}", "item_id")
+    return tables.read_questions(spark, [f"{path}/a", f"{path}/b"])
 
 
 def answer_pipeline(spark, d):
@@ -192,7 +211,11 @@ QUERIES = {
     "positional_submission": positional_submission,
     "input_count": input_count,
     "answer_count": answer_count,
-    "generate_batched": generate_batched,
+    "generate_batched": _generate("few_shot", generate.BATCH),
+    "generate_rows": _generate("few_shot", generate.ROW),
+    "generate_zero_shot": _generate("zero_shot_legacy", generate.BATCH),
+    "observed_counts": observed_counts,
+    "questions_scan": questions_scan,
     "csv_round_trip": csv_round_trip,
     "answer_stream": answer_stream,
 }
@@ -232,9 +255,8 @@ def _prompt_sql(strategy: str, t: prompts.Template) -> str:
         head, free_head = f"{t.role}{m}{t.choose}{m}{m}{t.examples}{m}{m}질문: ", f"{t.role}{m}{t.step_by_step}{m}{m}질문: "
         mid, end, free_end = f"{m}선택지:{m}", f"{m}{m}답변:", f"{m}{m}생각 과정:"
     else:
-        legacy = strategy == "zero_shot_legacy"
-        role, order = (t.role + t.newline if legacy else t.role), ("지시: " if legacy else "")
-        head, free_head = f"{role}{n}{n}{order}{t.choose}{n}{n}질문: ", f"{role}{n}{n}{order}{t.explain}{n}{n}질문: "
+        between = t.newline if strategy == "zero_shot_legacy" else f"{n}{n}지시: "
+        head, free_head = f"{t.role}{between}{t.choose}{n}{n}질문: ", f"{t.role}{between}{t.explain}{n}{n}질문: "
         mid, end = f"{n}선택지:{n}", f"{n}{n}답변:"
         free_end = end
     return f"CASE WHEN len(opts) >= 2 THEN {_lit(head)} || stem || {_lit(mid)} || {opts} || {_lit(end)} ELSE {_lit(free_head)} || q || {_lit(free_end)} END"
@@ -276,6 +298,10 @@ ORACLE_SQL = {
     "input_count": "SELECT count(*) AS n FROM documents",
     "answer_count": f"{_DOC_P}, e AS ({_EXTRACT}) SELECT count(answer) AS n FROM e",
     "generate_batched": f"{_ITEM_Q}, g AS (SELECT item_id, {_FEW} AS pr FROM p) SELECT item_id, pr || ' 정답은 ' || (length(pr) % 13)::VARCHAR || '번' AS generated FROM g",
+    "generate_rows": f"{_ITEM_Q}, g AS (SELECT item_id, {_FEW} AS pr FROM p) SELECT item_id, pr || ' 정답은 ' || (length(pr) % 13)::VARCHAR || '번' AS generated FROM g",
+    "generate_zero_shot": f"{_ITEM_Q}, g AS (SELECT item_id, {_prompt_sql('zero_shot_legacy', prompts.Template())} AS pr FROM p) SELECT item_id, pr || ' 정답은 ' || (length(pr) % 13)::VARCHAR || '번' AS generated FROM g",
+    "observed_counts": "SELECT count(*) AS n_questions, count(*) AS n_answers FROM documents",
+    "questions_scan": f"{_ITEM_Q} SELECT row_number() OVER (ORDER BY item_id % 2, item_id) - 1 AS row_idx, q AS Question FROM p",
     "answer_pipeline": f"{_DOC_P} SELECT doc_id, len(opts)::BIGINT AS n_options, array_to_string(opts, '|') AS options, stem AS question, {_final_sql(_NO_PREFIX)} AS answer FROM g",
     "csv_round_trip": "SELECT item_id::VARCHAR AS ID, ' \"' || text || '\", ' || chr(10) || ' ' AS Answer FROM benchmark",
     "answer_stream": f"{_ITEM_Q} SELECT item_id, {_final_sql("' 정답은 7번'")} AS answer FROM p",

@@ -16,13 +16,15 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that `spark.checkpoint.dir` names.
 
-    Where the setting is absent (single-machine tests) a temporary folder is
-    made once and remembered in the session.
+    Where the setting is absent a local session (tests) makes a temporary folder once
+    and remembers it; on a cluster, whose machines do not share such a folder, this raises.
     """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
         folder = spark.conf.get("tessel.shared.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError(f"set {SETTING} to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="tessel-")
             spark.conf.set("tessel.shared.dir", folder)
     return folder.rstrip("/")
@@ -40,10 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove(df: DataFrame) -> None:
-    """Delete the files of a table that `materialize` made and nothing reads any more."""
+    """Delete the files of a table that `materialize` made and nothing reads any more; files elsewhere stay."""
     spark = df.sparkSession
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    plain = lambda folder: jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()
+    own = plain(f"{shared_dir(spark)}/tessel") + "/"
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark)) or "/tessel/" in folder:
+        if plain(folder).startswith(own):
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(hadoop).delete(path, True)
