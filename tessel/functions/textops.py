@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WHITE_SPACE = r"[\s\x1c-\x1f]"
 WHITE_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 OPTION_LINE = rf"(?U)^{WHITE_SPACE}*[1-9][0-9]?{WHITE_SPACE}"
-OPTION_IN_TEXT = r"(?U)(?<![^\n])[\s\x1c-\x1f&&[^\n]]*[1-9][0-9]?[\s\x1c-\x1f&&[^\n]]"
+OPTION_AFTER_LINE_FEED = r"(?U)\n[\s\x1c-\x1f&&[^\n]]*[1-9][0-9]?[\s\x1c-\x1f&&[^\n]]"
 LEADING_NUMBER = r"(?U)^\D*([1-9][0-9]?)"
 
 

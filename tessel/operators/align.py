@@ -39,7 +39,8 @@ def batch_id(row_idx: Column, size: int = 8) -> Column:
 
 def positional_join(left: DataFrame, right: DataFrame, idx: str = "row_idx") -> DataFrame:
     """Joins rows of equal position; raises if a position of either side is missing or repeated on the other."""
-    n, m, rows = left.count(), right.count(), left.select(idx).join(right.select(idx), idx, "full_outer").count()
-    if not n == m == rows:  # no position is alone, and none is there twice
-        raise ValueError(f"{n} rows cannot be aligned with {m}: their positions differ or are repeated")
+    sides = [x.groupBy(idx).agg(F.count(F.lit(1)).alias(n)) for x, n in ((left, "a"), (right, "b"))]
+    alone = sides[0].join(sides[1], idx, "full_outer").where("coalesce(a, 0) <> 1 OR coalesce(b, 0) <> 1")
+    if not alone.isEmpty():
+        raise ValueError(f"{left.count()} rows cannot be aligned with {right.count()}: their positions differ or are repeated")
     return left.join(right, idx)

@@ -11,7 +11,7 @@ from tessel.functions.columns import unused
 
 def option_count(text: Column) -> Column:
     """Option lines of a text, counted without lambdas so that it stays in generated code."""
-    return F.regexp_count(X.strip(text), F.lit(X.OPTION_IN_TEXT))
+    return F.regexp_count(F.concat(F.lit("\n"), X.strip(text)), F.lit(X.OPTION_AFTER_LINE_FEED))
 
 
 def is_multiple_choice(text: Column) -> Column:
