@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,27 +10,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.functions.columns import let, unused  # noqa: F401
 from tessel.sources.shared import materialize, new_path, remove  # noqa: F401
 
-#: Rows of ids that are broadcast at most (8 bytes each and a hash table's overhead: under 50 MB).
-BROADCAST_ROWS = 1_000_000
+#: Bytes that are broadcast at most, as `small` counts them.
+BROADCAST_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else as it is (a shuffled join).
+def small(df: DataFrame, row_bytes: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its rows come to at most `limit` bytes, else as it is (a shuffled join).
 
-    `df` should be materialised: it is counted.
+    `row_bytes`: the bytes of a row, 16 where it is absent (one or two ids), besides 32 for its place in a
+    hash table. `df` should be materialised: it is read for this sum.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` evaluated once for each row, also where lambdas in `body` use it again and again."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    total = df.agg(F.sum((F.lit(16) if row_bytes is None else row_bytes).cast("long") + 32)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 def words(text: str | None) -> list[bytes]:

@@ -1,12 +1,14 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search.
 
-Items are partitioned by the power of two of their number of shingles. Each item
-is indexed under its KEEP least shingle hashes (a bottom-k MinHash sketch). A
-document that contains a share c of an item contains about that share of the
-item's minima however long it is, so its own hashes are probed; a partition only
-takes documents with enough shingles and hashes up to the partition's largest
-minimum. Items that share enough minima with a document are verified by the exact
-share of their shingles, as strings, that the document has.
+Items are partitioned by the power of two of their number of shingles. An item of n
+shingles is indexed under its least shingle hashes (a bottom-k MinHash sketch): one
+more than it may lack, KEEP at most. A document that contains enough of an item has
+one of them, by the pigeonhole principle for small items, and else but for a
+probability of 0.2 ** KEEP. A document, however long, is looked up by its own shingle
+hashes: by those up to the largest minimum of the partitions whose items are not too
+large for it. What is met is verified by the exact share of the item's shingles, as
+strings, that the document has. An item of fewer words than a shingle is one run of
+its own width.
 
 Only DataFrame functions are used.
 """
@@ -20,9 +22,8 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import let, materialize, small
 
-KEEP = 16
-#: Of its minima an item must share a quarter; one of containment 0.8 shares fewer with a probability of 2e-7.
-SHARE = 4
+#: Minima of an item at most: a pair at the least containment of 0.8 is missed with a probability of 1e-7.
+KEEP = 10
 
 
 def words(text: Column) -> Column:
@@ -47,67 +48,85 @@ def texts(w: Column, width: int) -> Column:
     return F.array_distinct(_runs(w, lambda x, i: F.concat_ws(" ", F.slice(x, i + 1, width)), width, "string"))
 
 
+def sketches(items: DataFrame, percent: int, width: int) -> DataFrame:
+    """(item_id, width, own, n_item, part, minima) of the items that have words.
+
+    own: distinct runs as strings; part: the power of two of their number, or minus the
+    width of an item of fewer than `width` words, which is one run.
+    """
+    split = items.select("item_id", words(F.col("text")).alias("w")).where("item_id IS NOT NULL AND size(w) > 0")
+    short = lambda make, kind: F.coalesce(*(F.when(F.size("w") == v, make(F.col("w"), v)) for v in range(1, width)), F.array().cast(f"array<{kind}>")) if width > 1 else F.array().cast(f"array<{kind}>")
+    of = lambda make, kind: F.when(F.size("w") < width, short(make, kind)).otherwise(make(F.col("w"), width))
+    known = split.select("item_id", F.least(F.size("w"), F.lit(width)).alias("width"), of(texts, "string").alias("own"), F.array_sort(F.array_distinct(of(hashes, "bigint"))).alias("h"))
+    n = F.size("own")
+    keep = F.least(F.lit(KEEP), (F.floor(n * (100 - percent) / 100) + 1).cast("int"))
+    part = F.when(F.col("width") < width, -F.col("width")).otherwise(F.floor(F.log2(n)).cast("int"))
+    return known.select("item_id", "width", "own", n.alias("n_item"), part.alias("part"), F.slice("h", F.lit(1), keep).alias("minima"))
+
+
+def _contained(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, key, item_id, n_item, n_shared); key is the hash of the document's text."""
+    known = materialize(sketches(items, percent, width), "items")
+    # One row for each power of two and each width below `width`: fewer than 70.
+    parts = known.groupBy("part").agg(F.max(F.array_max("minima")).alias("top"), F.min("n_item").alias("least")).collect()
+    text = F.col("text").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).where("doc_id IS NOT NULL")
+    if not parts:
+        none = F.lit(None).cast("long")
+        return known.select(none.alias("doc_id"), none.alias("key"), "item_id", F.col("n_item").cast("long").alias("n_item"), none.alias("n_shared")).where("false")
+    index = materialize(known.select("item_id", F.explode("minima").alias("h")), "index")
+    n = F.size("w") - (width - 1)
+    reach = [F.when(n * 100 >= p.least * percent, F.lit(p.top)) for p in parts if p.part >= 0]
+    shorter = sorted(-p.part for p in parts if p.part < 0)
+    tops = {-p.part: p.top for p in parts if p.part < 0}
+    up_to = lambda h, top: F.filter(h, lambda x: x <= top)
+    none = F.array().cast("array<bigint>")
+    asked = [F.coalesce(let(F.greatest(*reach, F.lit(None).cast("long")), lambda top: up_to(hashes(F.col("w"), width), top)), none)] if reach else []
+    asked += [up_to(hashes(F.col("w"), v), F.lit(tops[v])) for v in shorter]
+    probed = read.select("doc_id", "key", words(F.col("text")).alias("w")).select("doc_id", "key", F.explode(F.concat(*asked)).alias("h"))
+    found = materialize(probed.join(small(index), "h").select("doc_id", "key", "item_id").distinct(), "found")
+    weight = F.length(F.concat_ws("", "own")) * 2 + F.size("own") * 32
+    pairs = found.join(small(known.select("item_id", "n_item", "own"), weight), "item_id")
+    ids = materialize(found.select("doc_id", "key").distinct(), "ids")
+    runs = F.array_distinct(F.concat(*(texts(F.col("w"), v) for v in [*shorter, width])))
+    there = read.join(small(ids), ["doc_id", "key"], "left_semi").select("doc_id", "key", words(F.col("text")).alias("w")).select("doc_id", "key", runs.alias("has"))
+    exact = pairs.join(there, ["doc_id", "key"]).select(
+        "doc_id", "key", "item_id", F.col("n_item").cast("long").alias("n_item"), F.size(F.array_intersect("own", "has")).cast("long").alias("n_shared")
+    )
+    return exact.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+
+
 def contained(docs: DataFrame, items: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of each pair with 100 * n_shared >= percent * n_item.
 
     n_item: distinct shingles of the item; n_shared: those that the document
-    has. Items of fewer than `width` words, null texts and rows without an id
-    match nothing. Of rows that repeat an id the largest n_shared counts. Other
-    columns of `docs` (doc_id, text) and `items` (item_id, text) are not read.
+    has. An item of fewer than `width` words is one run of all its words, which a document has or not. Items
+    without words, null texts and rows without an id match nothing. Of rows that repeat an id the largest
+    n_shared counts. Other columns of `docs` (doc_id, text) and `items` (item_id, text) are not read.
     """
-    items = items.select("item_id", words(F.col("text")).alias("w")).where("item_id IS NOT NULL")
-    known = materialize(
-        items.select("item_id", texts(F.col("w"), width).alias("own"), F.array_sort(F.array_distinct(hashes(F.col("w"), width))).alias("h"))
-        .where("size(own) > 0"), "items"
-    )
-    sketch = known.select(
-        "item_id", F.size("own").alias("n_item"), F.slice("h", 1, KEEP).alias("minima")
-    ).withColumn("part", F.floor(F.log2("n_item")).cast("int"))
-    cuts = sketch.groupBy("part").agg(F.max(F.array_max("minima")).alias("top"), F.min("n_item").alias("least"))
-    index = materialize(
-        sketch.join(F.broadcast(cuts), "part").select("item_id", "n_item", "part", "least", F.size("minima").alias("k"), F.explode("minima").alias("h")),
-        "index",
-    )
-    # Two numbers: the largest minimum of any partition and the least size.
-    top, least = index.agg(F.max("h"), F.min("least")).first()
-    if top is None:
-        return known.select(
-            F.lit(0).cast("long").alias("doc_id"), "item_id", F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment")
-        ).where("false")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    own = read.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", hashes(F.col("w"), width).alias("h"))
-    probed = own.select("doc_id", F.size("h").alias("n"), F.explode(F.filter("h", lambda x: x <= top)).alias("h"))
-    need = F.ceil(F.col("least") * percent / 100)
-    hits = probed.join(small(index), "h").where(F.col("n") >= need)
-    found = materialize(
-        hits.groupBy("doc_id", "item_id", "k").agg(F.count_distinct("h").alias("shared")).where(F.col("shared") * SHARE >= F.col("k")).select("doc_id", "item_id"),
-        "found",
-    )
-    pairs = found.join(small(known.select("item_id", "own")), "item_id")
-    ids = found.select("doc_id").distinct()
-    there = read.join(small(materialize(ids, "ids")), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", texts(F.col("w"), width).alias("has"))
-    exact = pairs.join(there, "doc_id").select(
-        "doc_id", "item_id", F.size("own").cast("long").alias("n_item"), F.size(F.array_intersect("own", "has")).cast("long").alias("n_shared")
-    )
-    best = exact.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
-    return best.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    best = _contained(docs, items, percent, width).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    return best.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """`docs` without those that contain an item; all columns stay."""
-    gone = materialize(contained(docs, items, percent, width).select("doc_id").distinct(), "contaminated")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """`docs` without the rows whose text contains an item; all columns stay.
+
+    Of rows that repeat a doc_id with different texts each is judged by its own text; null texts and rows without an id stay.
+    """
+    gone = materialize(_contained(docs, items, percent, width).select("doc_id", "key").distinct(), "contaminated")
+    same = (F.col("doc_id").cast("long") == F.col("__found.__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__found.__key"))
+    return docs.alias("__docs").join(small(gone.toDF("__id", "__key")).alias("__found"), same, "left_anti").select(docs.columns)
 
 
 def sql(percent: int = 80, width: int = 5) -> str:
     """The same in DuckDB's SQL, by counting all shared shingles."""
-    shingled = (
-        "SELECT DISTINCT {id}, array_to_string(w[i:i + {m}], ' ') AS s FROM (SELECT {id}, w, unnest(range(1, len(w) - {m} + 1)) AS i FROM "
-        "(SELECT {id}, list_filter(string_split_regex(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM {table}))"
-    )
-    part = lambda i, t: shingled.format(id=i, m=width - 1, table=t)
+    split = "SELECT {id}, list_filter(string_split_regex(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM {table}"
+    runs = lambda i, m, table: f"SELECT DISTINCT {i}, array_to_string(w[i:i + {m} - 1], ' ') AS s FROM (SELECT {i}, w, unnest(range(1, len(w) - {m} + 2)) AS i FROM {table})"
+    lesser = " UNION ".join(f"SELECT doc_id, s FROM ({runs('doc_id', v, 'dw')}) WHERE EXISTS (SELECT 1 FROM bw WHERE len(w) = {v})" for v in range(1, width))
     return (
-        f"WITH q AS ({part('item_id', 'benchmark')}), d AS ({part('doc_id', 'documents')}), n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id), "
+        f"WITH bw AS ({split.format(id='item_id', table='benchmark')}), dw AS ({split.format(id='doc_id', table='documents')}), "
+        f"q AS ({runs('item_id', width, 'bw')} UNION SELECT item_id, array_to_string(w, ' ') FROM bw WHERE len(w) BETWEEN 1 AND {width - 1}), "
+        f"d AS ({runs('doc_id', width, 'dw')} UNION {lesser}), n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id), "
         "p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN q USING (s) GROUP BY doc_id, item_id) "
         f"SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM p JOIN n USING (item_id) WHERE n_shared * 100 >= n_item * {percent}"
     )
