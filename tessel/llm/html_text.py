@@ -1,13 +1,20 @@
 """Main text of web pages by a site style tree.
 
-Each page is parsed to blocks of text, each under a style node: the path of tags
-and classes that leads to it. The nodes of all pages of a host are merged. A node
-is important if its content differs from page to page (entropy of each content
-over the host's distinct pages) or its presentation does (entropy of its layouts).
-Nodes of low importance are removed from each page, on top of the branches that
-their tags, roles or class names mark as menus, headers, footers, sidebars,
-notices, adverts, forms or comments. If a page has an article or main element,
-the text is what lies in it; plain elements there are always content.
+Each page is parsed to blocks of text, each under a style node: the chain of tags
+and classes that leads to it. The trees of all pages of a site are merged; a site is a
+host, or the hosts of few pages of one domain. What a
+page shows in a branch is worth the less the more of the site's distinct pages show
+the same there (entropy of contents over pages), and a branch whose layout differs
+from page to page is worth more (entropy of its presentation styles). Importance is
+summed from the leaves up over whole branches; a branch is noise if neither it nor
+any branch below it reaches LOW, and is removed from each page.
+
+Presentation also speaks before any statistics do. Branches that their tags, roles,
+states or whole class names mark as menus, headers, footers, sidebars, notices, adverts,
+forms or comments are of no importance, for such things may also differ from page to
+page, or stand on a host's only page. If a page has an article or main element, its text
+is what lies in it, and elements there without class or id are always content.
+`marks=False` switches all of this off and leaves the decision to entropy alone.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -23,8 +31,10 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import batches, materialize, small
 
-#: A host with fewer distinct pages tells nothing; below LOW a node is noise; weight of content against presentation.
-PAGES, LOW, CONTENT = 4, 0.3, 0.9
+#: Below LOW a branch is noise; weight of content against presentation; levels of the style tree (deeper elements count as the last).
+LOW, CONTENT, DEPTH = 0.6, 0.9, 64
+#: Hosts of fewer distinct pages tell little: they are merged with their like under the last two labels of their names.
+PAGES = 16
 
 # A quote that is never closed is a character like others, so its tag ends at the next bracket.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"]*+"|'[^']*+'|["'])*+)>""", re.DOTALL)
@@ -34,7 +44,9 @@ _DIGITS = re.compile(r"\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("head script style noscript template iframe object svg math canvas audio video form button select option textarea input nav footer aside dialog menu".split())
+#: Elements without text of their own, whatever they hold.
+MUTE = frozenset("head script style noscript template iframe object svg math canvas audio video textarea input".split())
+SKIPPED = frozenset("form button select option nav footer aside dialog menu".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription comment comments replies respond disqus related recommended share sharing social widget toolbar masthead".split()
@@ -62,17 +74,37 @@ def _noise_name(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return bool(names & NOISE) or (not inside and "header" in names)
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
-    """(path, text, plain) of each block in page order, and the layout (child tags) of each path.
+class Block(NamedTuple):
+    """plain: in article or main, with no class or id below it; marked: of no importance by its presentation."""
+
+    node: int
+    text: str
+    plain: bool
+    marked: bool
+
+
+class Open(NamedTuple):
+    """An open element. skipped: 0 no, 1 by name, 2 by tag, role or state, 3 without text; up: the nodes above."""
+
+    tag: str
+    node: int
+    up: tuple[int, ...]
+    skipped: int
+    inside: bool
+    styled: bool
 
-    Noise branches are left out; so is what lies outside article or main, if the
-    page has one. An outermost article or main is read also within a branch that
-    only its class or id marks as noise. plain: in article or main, with no class or id below it.
+
+def parse(page: str | None, marks: bool = True) -> tuple[list[Block], dict[int, tuple[tuple[int, ...], str]]]:
+    """Blocks in page order, and for each style node (nodes above it, layout: its child tags).
+
+    An outermost article or main is read also within a branch that only its class
+    or id marks as noise.
     """
     page = page or ""
-    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, path, skipped (1: by name only), inside, styled inside
-    blocks: list[tuple[str, str, bool, bool]] = []
-    layout: dict[str, list[str]] = {}
+    root = Open("", 0, (), 0, False, False)
+    stack: list[Open] = []
+    blocks: list[tuple[Block, bool]] = []
+    tree: dict[int, tuple[tuple[int, ...], list[str]]] = {}
     text: list[str] = []
 
     def flush() -> None:
@@ -80,11 +112,12 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                top = next((s for s in reversed(stack) if s[0] not in INLINE), ("", "", 0, False, False))
-                blocks.append((top[1], joined, top[3] and not top[4], top[3]))
+                top = next((s for s in reversed(stack) if s.tag not in INLINE), root)
+                tree.setdefault(top.node, (top.up, []))
+                blocks.append((Block(top.node, joined, marks and top.inside and not top.styled, marks and top.skipped > 0), top.inside))
 
     def close(n: int) -> None:
-        if any(s[0] not in INLINE for s in stack[n:]):
+        if any(s.tag not in INLINE for s in stack[n:]):
             flush()
         del stack[n:]
 
@@ -92,7 +125,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not (stack and stack[-1][2]):
+        if stop > at and not (stack and stack[-1].skipped == 3):
             text.append(page[at:stop])
         if not m:
             break
@@ -102,113 +135,151 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]
             continue
         if m[1]:
             for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
+                if stack[n].tag == tag:
                     close(n)
                     break
             continue
         if tag in CLOSES_P:
             for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == "p":
+                if stack[n].tag == "p":
                     close(n)
                     break
-                if stack[n][0] not in INLINE:
+                if stack[n].tag not in INLINE:
                     break
         for group in SIBLINGS:
             if tag in group:
                 for n in range(len(stack) - 1, -1, -1):
-                    if stack[n][0] in group:
+                    if stack[n].tag in group:
                         close(n)
                         break
-                    if stack[n][0] in _SCOPE:
+                    if stack[n].tag in _SCOPE:
                         break
         if tag not in INLINE:
             flush()
-        elif tag == "br" and not (stack and stack[-1][2]):
+        elif tag == "br" and not (stack and stack[-1].skipped == 3):
             text.append(" ")
         attrs = {a.lower(): html.unescape(b or c or d) for a, b, c, d in _ATTR.findall(m[3])} if m[3] else {}
         if re.search(r"(?:^|\s)hidden(?:\s|$|=|/)", m[3]):
             attrs["hidden"] = ""
-        parent = stack[-1] if stack else ("", "", 0, False, False)
+        parent = stack[-1] if stack else root
         main = tag in ("article", "main") or attrs.get("role") in ("main", "article")
-        inside = parent[3] or main
-        skipped = 0 if main and not parent[3] and parent[2] == 1 else parent[2]
-        if _noise(tag, attrs, inside):
-            skipped = 2
-        elif not skipped and not main and _noise_name(tag, attrs, inside):
-            skipped = 1
+        inside = parent.inside or main
+        skipped = 0 if main and not parent.inside and parent.skipped == 1 else parent.skipped
+        if skipped < 2 and marks:
+            if _noise(tag, attrs, inside):
+                skipped = 2
+            elif not skipped and not main and _noise_name(tag, attrs, inside):
+                skipped = 1
+        if tag in INLINE and skipped > parent.skipped:
+            skipped = 3  # within a block of text: the rest of the block stays together
+        if tag in MUTE:
+            skipped = 3
         if tag in RAW and tag not in VOID:
             shut = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(page, at)
             at = shut.start() if shut else end
-            skipped = 2
+            skipped = 3
         if tag in VOID:
             continue
         name = _DIGITS.sub("#", " ".join(filter(None, (attrs.get("class"), attrs.get("id")))))
-        path = parent[1] if tag in INLINE else f"{parent[1]}/{tag}" + (f".{name}" if name else "")
-        if tag not in INLINE and not skipped:
-            layout.setdefault(parent[1], []).append(tag)
-        stack.append((tag, path, skipped, inside, parent[4] or (inside and not main and bool(name))))
+        node, up = parent.node, parent.up
+        if tag not in INLINE and skipped < 3:
+            tree.setdefault(parent.node, (parent.up, []))[1].append(tag)
+            if len(up) < DEPTH:
+                node, up = _long(f"{parent.node}/{tag}.{name}"), (*up, parent.node)
+        stack.append(Open(tag, node, up, skipped, inside, parent.styled or (inside and not main and bool(name))))
     close(0)
     flush()
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
-    return [b[:3] for b in blocks], {k: " ".join(v) for k, v in layout.items()}
+    scoped = marks and any(inside and not b.marked for b, inside in blocks)
+    return [b._replace(marked=b.marked or (scoped and not inside)) for b, inside in blocks], {k: (up, " ".join(v)) for k, (up, v) in tree.items()}
 
 
 _HOST = re.compile(r"://([^/?#]*)")
-_PARSED = "page_id long, url string, site long, page_key long, blocks array<struct<node:long,text:string,plain:boolean,content:long>>, layouts array<struct<node:long,style:long>>"
+_PARSED = "page_id long, url string, host long, domain long, page_key long, blocks array<struct<node:long,text:string,plain:boolean,marked:boolean,content:long>>, tree array<struct<node:long,up:array<long>,style:long>>"
+_BLOCK = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("plain", pa.bool_()), ("marked", pa.bool_()), ("content", pa.int64())]))
+_TREE = pa.list_(pa.struct([("node", pa.int64()), ("up", pa.list_(pa.int64())), ("style", pa.int64())]))
 
 
 def _long(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
 
 
-def _parse_all(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("plain", pa.bool_()), ("content", pa.int64())]))
-    layout = pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64())]))
-    for b in batches(it):
-        sites, keys, blocks, layouts = [], [], [], []
-        for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            m = _HOST.search(url or "")
-            host = m[1].lower() if m else ""
-            found, styles = parse(page)
-            sites.append(_long(host))
-            keys.append(_long("\n".join(x[1] for x in found)))
-            blocks.append([{"node": _long(f"{host}\n{p}"), "text": t, "plain": plain, "content": _long(t)} for p, t, plain in found])
-            layouts.append([{"node": _long(f"{host}\n{p}"), "style": _long(s)} for p, s in styles.items()])
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(sites, pa.int64()), pa.array(keys, pa.int64()), pa.array(blocks, block), pa.array(layouts, layout)],
-            names=["page_id", "url", "site", "page_key", "blocks", "layouts"],
-        )
+def _parse_all(marks: bool):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            hosts, domains, keys, blocks, trees = [], [], [], [], []
+            for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                m = _HOST.search(url or "")
+                found, tree = parse(page, marks)
+                host = m[1].lower() if m else ""
+                hosts.append(_long(host))
+                domains.append(_long("." + ".".join(host.split(".")[-2:])))
+                keys.append(_long("\n".join([x.text for x in found if not x.marked] or [x.text for x in found])))
+                blocks.append([{"node": x.node, "text": None if x.marked else x.text, "plain": x.plain, "marked": x.marked, "content": _long(x.text)} for x in found])
+                trees.append([{"node": n, "up": list(up), "style": _long(s)} for n, (up, s) in tree.items()])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(hosts, pa.int64()), pa.array(domains, pa.int64()), pa.array(keys, pa.int64()), pa.array(blocks, _BLOCK), pa.array(trees, _TREE)],
+                names=["page_id", "url", "host", "domain", "page_key", "blocks", "tree"],
+            )
+
+    return run
+
+
+def sited(parsed: DataFrame) -> DataFrame:
+    """`parsed` with the site of each page: its host if that has PAGES distinct pages, else its domain."""
+    large = parsed.groupBy("host").agg(F.count_distinct("page_key").alias("pages")).where(F.col("pages") >= PAGES)
+    large = materialize(large.select("host", F.lit(True).alias("large")), "hosts")
+    return parsed.join(small(large), "host", "left").withColumn("site", F.when(F.col("large"), F.col("host")).otherwise(F.col("domain"))).drop("large")
+
+
+def importance(parsed: DataFrame) -> DataFrame:
+    """(site, node, up, importance) of each style node, over the distinct pages of its site.
+
+    Content: of all that pages show in the branch, the mean of 1 - log(k) / log(pages), k being
+    the pages that show the same there. Presentation: the entropy of the layouts, to the base
+    of the site's pages. On a site's only page all content counts as its own. A site may hold any share
+    of the pages: all is counted by partial aggregates.
+    """
+    pages = parsed.groupBy("site").agg(F.count_distinct("page_key").alias("pages"))
+    bits = lambda k: F.when(F.col("pages") > 1, F.log(k) / F.log("pages")).otherwise(0.0)
+    seen = parsed.select("site", "page_key", F.explode("blocks").alias("b")).select("site", "page_key", "b.node", "b.content").distinct()
+    contents = seen.groupBy("site", "node", "content").agg(F.count(F.lit(1)).alias("k")).join(pages, "site")
+    leaves = contents.groupBy("site", "node").agg(F.sum("k").alias("shown"), F.sum(F.col("k") * (1 - bits("k"))).alias("worth"))
+    nodes = parsed.select("site", "page_key", F.explode("tree").alias("t")).select("site", "page_key", "t.node", "t.up", "t.style").distinct()
+    layouts = nodes.groupBy("site", "node", "up", "style").agg(F.count(F.lit(1)).alias("k"))
+    share = layouts.join(pages, "site").withColumn("p", F.col("k") / F.col("pages"))
+    styles = share.groupBy("site", "node", "up").agg(F.sum(-F.col("p") * bits("p")).alias("styles"))
+    branch = F.explode(F.concat("up", F.array("node"))).alias("node")
+    content = leaves.join(styles, ["site", "node"]).select("site", branch, "shown", "worth").groupBy("site", "node").agg((F.sum("worth") / F.sum("shown")).alias("content"))
+    return styles.join(content, ["site", "node"]).select("site", "node", "up", (CONTENT * F.col("content") + (1 - CONTENT) * F.least("styles", F.lit(1.0))).alias("importance"))
 
 
 def noise_nodes(parsed: DataFrame) -> DataFrame:
-    """(node): style nodes of low importance, over the distinct pages of each host."""
-    pages = parsed.select("site", "page_key").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES)
-    seen = parsed.select("site", "page_key", F.explode("blocks").alias("b")).where("NOT b.plain").select("site", "page_key", "b.node", "b.content").distinct()
-    spread = seen.groupBy("site", "node", "content").agg(F.count(F.lit(1)).alias("k")).join(pages, "site")
-    content = spread.groupBy("node", "pages").agg((1 - F.avg(F.log("k") / F.log("pages"))).alias("content"))
-    styles = parsed.select("site", "page_key", F.explode("layouts").alias("l")).select("site", "page_key", "l.node", "l.style").distinct()
-    share = styles.groupBy("site", "node", "style").agg(F.count(F.lit(1)).alias("k")).join(pages, "site").withColumn("p", F.col("k") / F.col("pages"))
-    shown = share.groupBy("node").agg(F.sum(-F.col("p") * F.log("p") / F.log("pages")).alias("shown"))
-    both = content.join(shown, "node", "left")
-    return both.where(CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("shown", F.lit(0.0)) < LOW).select("node").distinct()
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    """(site, node): the nodes that neither themselves nor below reach LOW."""
+    branch = F.explode(F.concat("up", F.array("node"))).alias("node")
+    best = importance(parsed).select("site", branch, "importance").groupBy("site", "node").agg(F.max("importance").alias("best"))
+    return best.where(F.col("best") < LOW).select("site", "node")
+
+
+def parsed_pages(pages: DataFrame, marks: bool = True) -> DataFrame:
+    """(page_id, url, host, domain, page_key, blocks, tree) of each row of `pages`."""
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return read.mapInArrow(_parse_all(marks), _PARSED)
+
+
+def extract(pages: DataFrame, marks: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of `pages` (page_id, url, html).
 
     Blocks are joined by a line feed; white space within is one space. Null and
-    empty html gives an empty text. Repeated rows are returned as often; other
-    columns are not read. Very long pages are read whole.
+    empty html gives an empty text; pages without a host are one site. Repeated rows are
+    returned as often; other columns are not read. Very long pages are read whole. `marks`: whether
+    presentation alone may mark a branch as noise or content (see above).
     """
-    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = materialize(read.mapInArrow(_parse_all, _PARSED).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    parsed = sited(materialize(parsed_pages(pages, marks).withColumn("row", F.monotonically_increasing_id()), "parsed"))
     noise = materialize(noise_nodes(parsed), "noise")
-    hits = (
-        parsed.select("row", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: ~b["plain"]), lambda b: b["node"]))).alias("node"))
-        .join(small(noise), "node").groupBy("row").agg(F.collect_set("node").alias("gone"))
-    )
-    gone = small(materialize(hits, "gone"))
-    kept = F.filter("blocks", lambda b: b["plain"] | ~F.coalesce(F.array_contains("gone", b["node"]), F.lit(False)))
+    open_to_doubt = F.filter("blocks", lambda b: ~b["plain"] & ~b["marked"])
+    asked = parsed.select("row", "site", F.explode(F.array_distinct(F.transform(open_to_doubt, lambda b: b["node"]))).alias("node"))
+    hits = materialize(asked.join(small(noise), ["site", "node"]).groupBy("row").agg(F.collect_set("node").alias("gone")), "gone")
+    kept = F.filter("blocks", lambda b: ~b["marked"] & (b["plain"] | ~F.coalesce(F.array_contains("gone", b["node"]), F.lit(False))))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return parsed.join(gone, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    joined = parsed.join(small(hits, F.size("gone") * 8 + 16), "row", "left")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
