@@ -12,7 +12,6 @@ Equal codes are one entry with their k least ids.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +19,13 @@ from pyspark.sql import functions as F
 from tessel.llm.common import materialize, remove
 
 #: Least and most segments.
-SEGMENTS = (4, 16)
+SEGMENTS = (2, 16)
 #: An index entry holds about 2**FULL codes: to compare a code costs less than to make and look up a key.
 FULL = 2
 #: Masks of the first steps together, which no bound cuts yet, and of later ones.
 MASKS = (128, 512)
+#: Masks that are broadcast at most (16 bytes each).
+BROADCAST_MASKS = 1_000_000
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
@@ -57,13 +58,22 @@ def code(vector: Column, dims: int = 64) -> Column:
 
 
 def _masks(spark, cut: list[tuple[int, int]], group: list[tuple[int, int]]) -> DataFrame:
-    """(seg, mask): all masks of the group's radii; one step has 12,870 at most."""
-    masks = [(s, sum(1 << b for b in c)) for s, radius in group for c in combinations(range(cut[s][1]), radius)]
-    return F.broadcast(spark.createDataFrame(masks, "seg int, mask int"))
+    """(seg, mask): all masks of the group's radii, made where they are used: bit after bit, each above the last."""
+    out = None
+    for seg, radius in group:
+        bits = cut[seg][1]
+        masks = spark.range(1).select(F.lit(seg).alias("seg"), F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("last"))
+        for left in range(radius, 0, -1):
+            here = F.explode(F.sequence(F.col("last") + 1, F.lit(bits - left)))
+            masks = masks.select("seg", "mask", here.alias("last")).select("seg", F.expr("mask | shiftleft(1L, last)").alias("mask"), "last")
+        masks = masks.select("seg", "mask")
+        out = masks if out is None else out.union(masks)
+    few = sum(math.comb(cut[seg][1], radius) for seg, radius in group) <= BROADCAST_MASKS
+    return F.broadcast(out) if few else out
 
 
 def _segments(c: str, cut: list[tuple[int, int]]) -> Column:
-    part = lambda s, at, bits: F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("val"))
+    part = lambda s, at, bits: F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << bits) - 1)).alias("val"))
     return F.explode(F.array(*(part(s, *x) for s, x in enumerate(cut))))
 
 
