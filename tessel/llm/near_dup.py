@@ -10,10 +10,13 @@ distance. At 32 symbols the distance is 15 and a pair of the least allowed
 similarity (0.8) is missed with a probability of 1e-6.
 
 Found pairs are confirmed on the full sets. Copies with equal sets are one
-representative. Within an index entry all members are first held against its
-leader (the smallest id); then what is not yet linked is compared in blocks of
-bounded size, each pair in the first entry that holds it, and each block returns
-no more than the links that join parts of it. So no table of all pairs exists.
+node. Within an index entry all members are first held against its leader (the
+smallest node), and those tied by these links get a common label. What an entry then
+holds under several labels is compared further, each pair in the first entry that
+holds it. An entry of more than one block first loses the members that share too
+few shingles with any other to be linked (those that only one of the members has
+are counted), then the members of its most frequent label are dealt out to blocks
+and the few others are held against each block. So no table of all pairs exists.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import batches, materialize, remove, shingles, small
@@ -34,7 +37,9 @@ CHUNKS = SYMBOLS // CHUNK
 #: Pairs that differ in more symbols are not confirmed; far beyond the guaranteed distance.
 FAR = 22
 #: Members of a block, and bytes of their sets.
-BLOCK_ROWS, BLOCK_BYTES = 512, 24 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 24 << 20
+#: A text class with more than this share of all rows is joined by a broadcast: there are no more than so many of them.
+HOT = 1000
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,15 +74,15 @@ def entries(sig: np.ndarray) -> np.ndarray:
 
 
 _SIGNED = pa.schema(
-    [("id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("sig", pa.binary()), ("entries", pa.list_(pa.int64()))]
+    [("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("sig", pa.binary()), ("entries", pa.list_(pa.int64()))]
 )
 
 
 def _sign(width: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            ids, n, same, sig, keys = b.column(0), [], [], [], []
-            for text in b.column(1).to_pylist():
+            n, same, sig, keys = [], [], [], []
+            for text in b.column(2).to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
                 if len(s):
@@ -88,7 +93,7 @@ def _sign(width: int):
                 else:
                     same.append(None), sig.append(None), keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 schema=_SIGNED,
             )
 
@@ -154,16 +159,31 @@ def _groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
         yield rows
 
 
+_BLOCK = pa.schema(
+    [("entry", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("node", pa.int64()), ("label", pa.int64()), ("major", pa.bool_()), ("n", pa.int64()), ("cap", pa.int64()), ("sig", pa.binary())]
+)
+_BLOCK_DDL = "entry long, block int, blocks int, node long, label long, major boolean, n long, cap long, sig binary"
+
+
 def _candidates(rows: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of a block pair (entry, i, j, id, label, block, n, sig, ...): the later rows that
-    it must be compared with here."""
-    entry, i, j = rows[0][0] & 31, rows[0][1], rows[0][2]
-    sigs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, SYMBOLS)
-    labels, block, sizes = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
+    """For each row of a block (in the order of _BLOCK): the later rows that it must be compared with here.
+
+    Two members of no frequent label lie together in every block; their pair belongs to one of them.
+    """
+    entry, block, blocks = rows[0][0] & 31, rows[0][1], rows[0][2]
+    sigs = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, SYMBOLS)
+    nodes, labels, sizes, caps = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 6, 7))
+    major = np.array([r[5] for r in rows], bool)
     for k in range(len(rows)):
-        others = np.arange(k + 1, len(rows)) if i == j else np.flatnonzero(block == j) if block[k] == i else np.empty(0, int)
-        lo, hi = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
-        others = others[(labels[others] != labels[k]) & (100 * lo >= percent * hi)]
+        if major[k]:
+            break  # these come last, and are of one label
+        others = np.arange(k + 1, len(rows))
+        # An intersection is no larger than either set, nor than what either shares with any other member.
+        most = np.minimum(caps[others], caps[k])
+        fits = (labels[others] != labels[k]) & (100 * most >= percent * (sizes[others] + sizes[k] - most))
+        if blocks > 1:
+            fits &= major[others] | ((nodes[others] + nodes[k]) % blocks == block)
+        others = others[fits]
         if len(others):
             match = sigs[others] == sigs[k]
             others = others[(match.sum(1) >= SYMBOLS - FAR) & (first_entry(match) == entry)]
@@ -172,10 +192,10 @@ def _candidates(rows: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarr
 
 
 def _pick(percent: int):
-    """Rows of block pairs that have something to be compared with."""
+    """Rows of blocks that have something to be compared with."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(it, 3):
+        for rows in _groups(it, 2):
             if len(rows) > 1:
                 used = set()
                 for k, others in _candidates(rows, percent):
@@ -190,16 +210,11 @@ def _pick(percent: int):
     return run
 
 
-_BLOCK = pa.schema(
-    [("entry", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("id", pa.int64()), ("label", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("sig", pa.binary())]
-)
-
-
 def _compare(percent: int, width: int):
-    """Block pairs with texts: links that join parts which are not linked yet."""
+    """Blocks with texts: links between labels that are not linked yet."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(it, 3):
+        for rows in _groups(it, 2):
             root = {r[4]: r[4] for r in rows}
 
             def find(c, root=root):
@@ -212,7 +227,7 @@ def _compare(percent: int, width: int):
 
             def full(k, rows=rows, sets=sets):
                 if k not in sets:
-                    sets[k] = shingles(rows[k][8], width)
+                    sets[k] = shingles(rows[k][9], width)
                 return sets[k]
 
             out = []
@@ -221,87 +236,147 @@ def _compare(percent: int, width: int):
                     a, b = find(rows[k][4]), find(rows[o][4])
                     if a != b and _linked(full(k), full(o), percent):
                         root[max(a, b)] = min(a, b)
-                        out.append((rows[k][3], rows[o][3]))
+                        out.append((rows[k][4], rows[o][4]))
             yield _links(out)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
+def _tokens(width: int):
+    """(node, shingle) of rows (node, text)."""
 
-    Texts whose sets of `width`-word shingles have 100 * intersection >=
-    percent * union are linked; component_id is the smallest doc_id reachable
-    and kept marks it. A null or empty text, or one without words, has no
-    shingles and is linked with nothing. Rows that repeat a doc_id with the same
-    text are one document and are all returned, with the same result; if their
-    texts differ, each row has its own n_shingles and the component of its text,
-    and links of one of the texts may be missed. A row without doc_id has a null component and is kept. Other
-    columns, whatever their names, are not read. An empty table gives an empty
-    one.
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 64):
+            sets = [shingles(t, width).view(np.int64) for t in b.column(1).to_pylist()]
+            nodes = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], names=["node", "token"])
+
+    return run
+
+
+def _unlinked_members_out(member: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """`member` (entry, node, label, n, k) of entries of several blocks without those that cannot be linked there; adds cap.
+
+    cap bounds what a member's set shares with any other: its shingles less those that no other
+    member of these entries has. A link needs (100 + percent) * intersection >= percent * both sizes.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(read.mapInArrow(_sign(width), "id long, n long, same binary, sig binary, entries array<long>"), "signed")
+    nodes = materialize(member.select("node").distinct(), "crowded")
+    tokens = texts.join(small(nodes), "node", "left_semi").select("node", "text").mapInArrow(_tokens(width), "node long, token long")
+    alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = materialize(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "own")
+    least = member.groupBy("entry").agg(F.min("n").alias("least"))
+    capped = member.join(own, "node", "left").withColumn("cap", F.col("n") - F.coalesce("own", F.lit(0))).join(least, "entry")
+    out = capped.where((100 + percent) * F.col("cap") >= percent * (F.col("n") + F.col("least"))).select("entry", "node", "label", "n", "cap")
+    remove(nodes)
+    return out
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("bytes") * 8 / BLOCK_BYTES)).cast("int")
+
+
+def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(id, h, n, component) of each row; h is the hash of its text. Rows of one text are one node."""
+    read = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    signed = materialize(read.mapInArrow(_sign(width), "id long, h long, n long, same binary, sig binary, entries array<long>"), "signed")
     known = signed.where("id IS NOT NULL AND n > 0")
-    classes = known.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    reps = materialize(
-        known.groupBy("same").agg(F.min(F.struct("id", "n", "sig", "entries")).alias("r")).select("r.*"), "reps"
-    )
-    keyed = reps.select("id", "n", F.explode("entries").alias("entry"))
+    classes = known.groupBy("same").agg(F.min(F.struct("id", "h", "n", "sig", "entries")).alias("r"), F.count(F.lit(1)).alias("members"))
+    reps = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "same", "members", "r.*"), "reps")
+    keyed = reps.select("node", "n", F.explode("entries").alias("entry"))
     full = keyed.groupBy("entry").agg(
-        F.min("id").alias("leader"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("bytes")
+        F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("bytes")
     ).where("members > 1")
-    shared = materialize(keyed.select("id", "entry").join(full, "entry"), "shared")
+    shared = materialize(keyed.join(full, "entry"), "shared")
 
-    # Texts of all that share an entry, read once more.
-    involved = materialize(shared.select("id").distinct(), "involved")
-    texts = materialize(read.join(small(involved), "id", "left_semi"), "texts")
+    # Texts of all that share an entry, read once more; of repeated rows, which only a class of several rows can have, one.
+    involved = materialize(shared.select("node").distinct().join(reps.select("node", "id", "h", "members"), "node"), "involved")
+    found_texts = materialize(read.join(small(involved, F.lit(40)), ["id", "h"]).select("node", "members", "text"), "texts")
+    texts = found_texts.where("members = 1").select("node", "text").union(found_texts.where("members > 1").select("node", "text").dropDuplicates(["node"]))
 
     # Round 1: each entry's members against its leader.
-    pairs = shared.select("leader", "id").where("leader <> id").distinct()
-    wanted = materialize(pairs.union(pairs.select("leader", F.col("leader").alias("id")).distinct()), "wanted")
+    pairs = shared.select("leader", "node").where("leader <> node").distinct()
+    wanted = materialize(pairs.union(pairs.select("leader", F.col("leader").alias("node")).distinct()), "wanted")
     spread = wanted.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts"))
     rows = wanted.join(spread, "leader").select(
-        "leader", "id", F.when(F.col("leader") == F.col("id"), F.sequence(F.lit(0), F.col("parts") - 1))
-        .otherwise(F.array(F.pmod(F.xxhash64("id"), "parts").cast("int"))).alias("part"),
-    ).select("leader", "id", F.explode("part").alias("part"))
-    led = rows.join(texts, "id").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("id"))
-    found = materialize(led.select("leader", "id", "text").mapInArrow(_confirm_leader(percent, width), "a long, b long"), "links")
-
-    # Round 2: what one entry holds and round 1 has not joined, in blocks.
-    once = found.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-    twice = once.select(F.col("id").alias("label"), F.col("label").alias("further"))
-    labels = materialize(once.join(twice, "label", "left").select("id", F.coalesce("further", "label").alias("label")), "labels")
-    member = shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        "leader", "node", F.when(F.col("leader") == F.col("node"), F.sequence(F.lit(0), F.col("parts") - 1))
+        .otherwise(F.array(F.pmod(F.xxhash64("node"), "parts").cast("int"))).alias("part"),
+    ).select("leader", "node", F.explode("part").alias("part"))
+    led = rows.join(texts, "node").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("node"))
+    found = materialize(led.select("leader", "node", "text").mapInArrow(_confirm_leader(percent, width), "a long, b long"), "links")
+    # A label is the least leader within four links; a leader is less than its members.
+    hop = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+    for _ in range(2):
+        hop = hop.join(hop.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    labels = materialize(hop, "labels")
+
+    # Round 2: what one entry holds under several labels.
+    member = shared.join(labels, "node", "left").select("entry", "node", F.coalesce("label", "node").alias("label"), "n")
     member = materialize(member, "member")
-    mixed_up = member.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("bytes") * 8 / BLOCK_BYTES)).cast("int")
-    placed = member.join(mixed_up, "entry", "left_semi").select("entry", "id", "label", blocks.alias("k")).withColumn(
-        "block", F.pmod(F.xxhash64("id"), "k").cast("int")
-    )
-    dealt = placed.select(
-        "entry", "id", "label", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    ).select("entry", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    whole = dealt.join(reps.select("id", "n", "sig"), "id").select(_BLOCK.names)
-    kind = "entry long, i int, j int, id long, label long, block int, n long, sig binary"
-    near = materialize(whole.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "id").mapInArrow(_pick(percent), kind), "near")
-    joined = near.join(texts, "id").select(*_BLOCK.names, "text").repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "id")
+    sums = (F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("bytes"))
+    mixed_up = materialize(member.groupBy("entry").agg(*sums).where("lo <> hi").select("entry", _blocks().alias("blocks")), "mixed")
+    crowds = mixed_up.where("blocks > 1")
+    placed = member.join(mixed_up.where("blocks = 1"), "entry").select("entry", F.lit(0).alias("block"), "blocks", "node", "label", F.lit(False).alias("major"), "n", F.col("n").alias("cap"))
+    scrap = []
+    if not crowds.isEmpty():
+        rest = materialize(_unlinked_members_out(member.join(crowds, "entry", "left_semi"), texts, percent, width), "rest")
+        left = rest.groupBy("entry").agg(*sums).where("lo <> hi").select("entry", _blocks().alias("blocks"))
+        most = rest.groupBy("entry", "label").count().groupBy("entry").agg(F.max(F.struct("count", "label"))["label"].alias("top"))
+        dealt = rest.join(left.join(most, "entry"), "entry").withColumn("major", (F.col("label") == F.col("top")) & (F.col("blocks") > 1))
+        block = F.when(F.col("major"), F.array(F.pmod(F.xxhash64("node"), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+        placed = placed.union(dealt.select("entry", F.explode(block).alias("block"), "blocks", "node", "label", "major", "n", "cap"))
+        scrap.append(rest)
+    whole = placed.join(reps.select("node", "sig"), "node").select(_BLOCK.names)
+    order = ("entry", "block", "major", "node")
+    near = materialize(whole.repartition("entry", "block").sortWithinPartitions(*order).mapInArrow(_pick(percent), _BLOCK_DDL), "near")
+    joined = near.join(texts, "node").select(*_BLOCK.names, "text").repartition("entry", "block").sortWithinPartitions(*order)
     more = materialize(joined.mapInArrow(_compare(percent, width), "a long, b long"), "links")
 
-    comps = materialize(connected_components(found.union(more)), "components")
-    of_class = classes.join(comps, F.col("rep") == F.col("id"), "left").select("same", F.coalesce("component", "rep").alias("class_id"))
-    result = signed.select("id", "n", "same").join(of_class, "same", "left")
-    per_id = F.coalesce("class_id", "id")
-    out = result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), per_id.alias("component_id"))
-    for t in (reps, shared, involved, texts, wanted, labels, member, near, found, more):
+    # A node's label, the label's component, and the least doc_id of that.
+    of_a, of_b = (labels.select(F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in ("a", "b"))
+    ties = found.join(of_a, "a", "left").join(of_b, "b").select(F.coalesce("label_a", "a").alias("a"), F.col("label_b").alias("b")).where("a <> b")
+    further = connected_components(ties.union(more)).select(F.col("id").alias("label"), "component")
+    named = reps.select("node", "same", "id", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_node = materialize(named.join(further, "label", "left").select("same", "id", "members", F.coalesce("component", "label").alias("root")), "roots")
+    least = of_node.groupBy("root").agg(F.min("id").alias("component"))
+    total = signed.count()
+    of_class = materialize(of_node.join(least, "root").where("members > 1 OR component <> id").select("same", "component", (F.col("members") * HOT > total).alias("hot")), "classes")
+    cols = [F.col("id"), F.col("h"), F.col("n")]
+    some, none = signed.where("same IS NOT NULL").select("id", "h", "n", "same"), signed.where("same IS NULL").select(*cols, F.col("id").alias("component"))
+    # Fewer than HOT classes hold a HOT-th of all rows each; no other key of the second join has as many rows.
+    hot = F.broadcast(of_class.where("hot").select("same", "component"))
+    done = some.join(hot, "same").select(*cols, "component")
+    other = some.join(hot, "same", "left_anti").join(of_class.where("NOT hot").select("same", F.col("component").alias("c")), "same", "left").select(*cols, F.coalesce("c", "id").alias("component"))
+    for t in (reps, shared, involved, found_texts, wanted, labels, member, mixed_up, near, found, more, of_node, *scrap):
         remove(t)
+    # A row without an id belongs to nothing, whatever its text.
+    return done.union(other).union(none).withColumn("component", F.when(F.col("id").isNotNull(), F.col("component")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
+
+    Texts whose sets of `width`-word shingles have 100 * intersection >=
+    percent * union are linked; component_id is the smallest doc_id reachable
+    and kept marks it. A null or empty text, or one without words, has no
+    shingles and is linked with nothing. Rows that repeat a doc_id with the same
+    text are one document and are all returned, with the same result; if their
+    texts differ, each row has its own n_shingles and the component of its own text.
+    A row without doc_id has a null component, links nothing and is kept. Other
+    columns, whatever their names, are not read. An empty table gives an empty
+    one.
+    """
+    out = _judged(docs, percent, width).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """`docs` without those that are not the smallest doc_id of their component; all columns stay."""
-    gone = materialize(near_duplicates(docs, percent, width).where("NOT kept").select("doc_id").distinct(), "dropped")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """`docs` without the rows whose doc_id is not the smallest of their component; all columns stay.
+
+    Of rows that repeat a doc_id with different texts each is judged by its own text.
+    """
+    gone = materialize(_judged(docs, percent, width).where("id <> component").select("id", "h").distinct(), "dropped")
+    key = (F.col("doc_id").cast("long") == F.col("__dropped.id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__dropped.h"))
+    return docs.alias("__docs").join(small(gone).alias("__dropped"), key, "left_anti").select(docs.columns)
 
 
 def sql(percent: int = 85, width: int = 5) -> str:
