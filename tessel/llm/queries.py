@@ -34,6 +34,11 @@ def op4_chat_format(spark, d):
     return chat.digests(chat.format_chats(events))
 
 
+def chat_event_log(spark, d):
+    """All conversations as a log of every kind of event, folded again."""
+    return chat.digests(chat.format_chats(chat.as_log(read(spark, d, "conversations"))))
+
+
 def op5_sentencepiece(spark, d):
     return sentencepiece.encode(read(spark, d, "documents"), PIECES)
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_hamming_top_k": op2_hamming_top_k,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
+    "chat_event_log": chat_event_log,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
@@ -76,6 +82,7 @@ ORACLE_SQL = {
     "op2_hamming_top_k": hamming_search.sql(),
     "op3_decontaminate": decontaminate.sql(),
     "op4_chat_format": chat.sql(),
+    "chat_event_log": chat.sql(trap=False),
     "op9_url_rules": url_rules.sql(),
     "op10_near_dup": near_dup.sql(),
 }
