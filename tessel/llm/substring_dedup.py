@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import batches, mixed
+from tessel.llm.common import batches, materialize, mixed
 
 RUN, LONG, NEAR = 3, 16, 3
 _END = re.compile(r"(?<=[.!?\u061f\u06d4\u0964])\s+|(?<=[\u3002\uff01\uff0e\uff1f\uff61])\s*|\n+")
@@ -106,41 +106,57 @@ def without(text: str, firsts: list[int]) -> tuple[str, int]:
 
 def _emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it):
-        found = [_hashes(t) for t in b.column(1).to_pylist()]
+        found = [_hashes(t) for t in b.column(2).to_pylist()]
         counts = [len(h) for h in found]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64()),
                 pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts), pa.int64()),
+                pa.array(np.repeat(b.column(1).to_numpy(zero_copy_only=False), counts), pa.int64()),
                 pa.array(np.concatenate([np.empty(0, np.int32), *(np.arange(n, dtype=np.int32) for n in counts)]), pa.int32()),
             ],
-            names=["h", "doc_id", "at"],
+            names=["h", "doc_id", "key", "at"],
         )
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(it):
-        rows = [without(t, f) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        rows = [without(t, f) for t, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), b.column(3)],
-            names=["doc_id", "text", "n_removed", "first_doc_ids"],
+            [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), b.column(4)],
+            names=["doc_id", "key", "text", "n_removed", "first_doc_ids"],
         )
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text); key is the text's hash, so that an id with several texts is as many documents."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, first_doc_id): each run (number of its first sentence) that occurs earlier,
+    """(doc_id, key, at, first_doc_id): each run (number of its first sentence) that occurs earlier,
     and the document of its first occurrence.
 
-    Occurrences are ordered by doc_id and position; only the least is kept for
+    Occurrences are ordered by doc_id, key and position; only the least is kept for
     each hash before anything is joined, so a frequent run is one row for each
-    task, and a join that Spark may split.
+    task, and a join that Spark may split. The runs are written once and read twice.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    spans = read.mapInArrow(_emit, "h long, doc_id long, at int")
-    first = spans.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    read = _read(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    spans = materialize(read.mapInArrow(_emit, "h long, doc_id long, key long, at int"), "spans")
+    first = spans.groupBy("h").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return spans.join(first.select("h", "first"), "h").where(
-        (F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))
-    ).select("doc_id", "at", F.col("first.doc_id").alias("first_doc_id"))
+        F.struct("doc_id", "key", "at") != F.col("first")
+    ).select("doc_id", "key", "at", F.col("first.doc_id").alias("first_doc_id"))
+
+
+def _changed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text, n_removed, first_doc_ids) of the texts that lose sentences."""
+    spans = repeated_spans(docs)
+    per_doc = spans.groupBy("doc_id", "key").agg(F.collect_set("at").alias("at"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    return _read(docs).join(per_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "at", "first_doc_ids").mapInArrow(
+        _cut, "doc_id long, key long, text string, n_removed long, first_doc_ids array<long>"
+    )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -148,21 +164,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     n_removed: sentences (or pieces of long ones) taken out; first_doc_ids: where
     they stay. Documents without repeats, null and empty texts and rows without
-    doc_id are not returned; rows that repeat a doc_id are one document whose
-    equal texts are treated alike. Other columns are not read.
+    doc_id are not returned. Rows that repeat a doc_id with the same text are one
+    document, and are returned as often; with different texts they are several.
+    Other columns are not read.
     """
-    spans = repeated_spans(docs)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_set("at").alias("at"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    return read.join(per_doc, "doc_id").select("doc_id", "text", "at", "first_doc_ids").mapInArrow(
-        _cut, "doc_id long, text string, n_removed long, first_doc_ids array<long>"
-    )
+    return _changed(docs).drop("key")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of all rows, repeats removed; a text of repeats only becomes empty."""
-    new = deduplicated(docs).select("doc_id", F.col("text").alias("__new")).dropDuplicates(["doc_id"])
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(new, "doc_id", "left")
-    return kept.select("doc_id", F.coalesce("__new", "text").alias("text"))
-
+    """(doc_id, text) of all rows, repeats removed; a text of repeats only becomes empty.
 
+    Repeated rows, null texts and rows without doc_id stay.
+    """
+    new = _changed(docs).select("doc_id", "key", F.col("text").alias("new")).dropDuplicates(["doc_id", "key"])
+    return _read(docs).join(new, ["doc_id", "key"], "left").select("doc_id", F.coalesce("new", "text").alias("text"))
