@@ -14,6 +14,8 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,9 @@ PATTERNS = {
 ATTEMPTS = 40
 OTHER = "|".join(PATTERNS.values())
 ANY = f"{OTHER}|{NAME}"
-#: Every match of ANY holds a match of one of these, which are far cheaper to look for.
-_HINTS = ("[0-9@]", rf"(?<!{_EDGE})(?:{_TITLE})\.? |[a-f]{{32}}|AKIA|gh[pousr]_|sk-|::|:[A-Fa-f]{{1,4}}:")
+#: Every match of ANY holds one of these, which are far cheaper to look for: strings (of titles that hold others the shorter), patterns.
+_STRINGS = [t for t in _TITLE.split("|") if not any(u != t and u in t for u in _TITLE.split("|"))] + ["AKIA", "sk-"]
+_SIGNS = ("[0-9@]", "[a-f]{32}|gh[pousr]_|:[A-Fa-f]{0,4}:")
 #: Country calling codes: those of one and two digits, all others have three.
 _CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
@@ -259,7 +262,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 def _suspect(text: Column) -> Column:
     """Whether a text holds an entity; the patterns are tried only where something hints at one."""
-    return F.coalesce((text.rlike(_HINTS[0]) | text.rlike(_HINTS[1])) & text.rlike(ANY), F.lit(False))
+    hints = [*(text.rlike(sign) for sign in _SIGNS), *(text.contains(s) for s in _STRINGS)]
+    return F.coalesce(reduce(Column.__or__, hints) & text.rlike(ANY), F.lit(False))
 
 
 def _replaced(hit: DataFrame, key: str, count: str) -> DataFrame:
@@ -297,7 +301,7 @@ def _replaced(hit: DataFrame, key: str, count: str) -> DataFrame:
     pattern, to = F.col(f"{entries}.pattern"), F.col(f"{entries}.to")
     found = F.regexp_extract_all("text", pattern, F.lit(0))
     gaps = F.split("text", pattern, -1)
-    text = F.array_join(F.zip_with(gaps, found, lambda g, e: F.concat(F.coalesce(g, F.lit("")), F.coalesce(F.element_at(to, e), F.lit("")))), "")
+    text = F.array_join(F.zip_with(gaps, found, lambda g, e: F.concat(F.coalesce(g, F.lit("")), F.coalesce(F.element_at(to, e), e, F.lit("")))), "")
     return keyed.join(maps, at).withColumns({count: F.size(found).cast("long"), "text": text}).drop(at, entries)
 
 
