@@ -15,7 +15,8 @@ smallest node), and those tied by these links get a common label. What an entry
 holds under several labels is compared further, each pair in the first entry that
 holds it. An entry of more than one block first loses the members that share too
 few shingles with any other to be linked (those that only one of the members has
-are counted), then the members of its most frequent label are dealt out to blocks
+are counted), then its other labels are held against a second leader, the member that shares
+most; at last the members of its most frequent label are dealt out to blocks
 and the few others are held against each block. So no table of all pairs exists.
 """
 
@@ -271,6 +272,39 @@ def _unlinked_members_out(member: DataFrame, texts: DataFrame, percent: int, wid
     return out
 
 
+def _led(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b): which of the distinct `pairs` (leader, node) are linked; the members of a leader are dealt out to tasks."""
+    wanted = materialize(pairs.union(pairs.select("leader", F.col("leader").alias("node")).distinct()), "wanted")
+    # Few leaders have more members than one task is to hold; the others need no join by their key.
+    spread = materialize(wanted.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts")).where("parts > 1"), "spread")
+    rows = wanted.join(small(spread), "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select(
+        "leader", "node", F.when(F.col("leader") == F.col("node"), F.sequence(F.lit(0), F.col("parts") - 1))
+        .otherwise(F.array(F.pmod(F.xxhash64("node"), "parts").cast("int"))).alias("part"),
+    ).select("leader", "node", F.explode("part").alias("part"))
+    led = rows.join(texts, "node").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("node"))
+    links = materialize(led.select("leader", "node", "text").mapInArrow(_confirm_leader(percent, width), "a long, b long"), "links")
+    remove(wanted)
+    remove(spread)
+    return links
+
+
+def _led_again(rest: DataFrame, texts: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """`rest` (entry, node, label, n, cap) with new labels, and the links (a, b) of labels that gave them.
+
+    The second leader of an entry is the member that shares most with others; it is held against all of other labels.
+    """
+    leader = rest.groupBy("entry").agg(F.max(F.struct("cap", "node", "label")).alias("l")).select("entry", F.col("l.node").alias("leader"), F.col("l.label").alias("to"))
+    pairs = materialize(rest.join(leader, "entry").where("label <> to").select("leader", "to", "node", "label").distinct(), "pairs")
+    links = _led(pairs.select("leader", "node").distinct(), texts, percent, width)
+    tied = materialize(pairs.join(links.toDF("leader", "node"), ["leader", "node"]).select(F.col("to").alias("a"), F.col("label").alias("b")).distinct(), "tied")
+    moved = tied.groupBy(F.col("b").alias("label")).agg(F.min("a").alias("to"))
+    again = rest.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    out = materialize(again.select("entry", "node", "label", "n", "cap"), "rest")
+    for t in (pairs, links, rest):
+        remove(t)
+    return out, tied
+
+
 def _blocks() -> Column:
     return F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("bytes") * 8 / BLOCK_BYTES)).cast("int")
 
@@ -295,14 +329,7 @@ def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
     # Round 1: each entry's members against its leader.
     pairs = shared.select("leader", "node").where("leader <> node").distinct()
-    wanted = materialize(pairs.union(pairs.select("leader", F.col("leader").alias("node")).distinct()), "wanted")
-    spread = wanted.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts"))
-    rows = wanted.join(spread, "leader").select(
-        "leader", "node", F.when(F.col("leader") == F.col("node"), F.sequence(F.lit(0), F.col("parts") - 1))
-        .otherwise(F.array(F.pmod(F.xxhash64("node"), "parts").cast("int"))).alias("part"),
-    ).select("leader", "node", F.explode("part").alias("part"))
-    led = rows.join(texts, "node").repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("leader") != F.col("node"))
-    found = materialize(led.select("leader", "node", "text").mapInArrow(_confirm_leader(percent, width), "a long, b long"), "links")
+    found = _led(pairs, texts, percent, width)
     # A label is the least leader within four links; a leader is less than its members.
     hop = found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     for _ in range(2):
@@ -316,15 +343,16 @@ def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
     mixed_up = materialize(member.groupBy("entry").agg(*sums).where("lo <> hi").select("entry", _blocks().alias("blocks")), "mixed")
     crowds = mixed_up.where("blocks > 1")
     placed = member.join(mixed_up.where("blocks = 1"), "entry").select("entry", F.lit(0).alias("block"), "blocks", "node", "label", F.lit(False).alias("major"), "n", F.col("n").alias("cap"))
-    scrap = []
+    scrap, tied = [], None
     if not crowds.isEmpty():
         rest = materialize(_unlinked_members_out(member.join(crowds, "entry", "left_semi"), texts, percent, width), "rest")
+        rest, tied = _led_again(rest, texts, percent, width)
         left = rest.groupBy("entry").agg(*sums).where("lo <> hi").select("entry", _blocks().alias("blocks"))
         most = rest.groupBy("entry", "label").count().groupBy("entry").agg(F.max(F.struct("count", "label"))["label"].alias("top"))
         dealt = rest.join(left.join(most, "entry"), "entry").withColumn("major", (F.col("label") == F.col("top")) & (F.col("blocks") > 1))
         block = F.when(F.col("major"), F.array(F.pmod(F.xxhash64("node"), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
         placed = placed.union(dealt.select("entry", F.explode(block).alias("block"), "blocks", "node", "label", "major", "n", "cap"))
-        scrap.append(rest)
+        scrap += [rest, tied]
     whole = placed.join(reps.select("node", "sig"), "node").select(_BLOCK.names)
     order = ("entry", "block", "major", "node")
     near = materialize(whole.repartition("entry", "block").sortWithinPartitions(*order).mapInArrow(_pick(percent), _BLOCK_DDL), "near")
@@ -334,7 +362,8 @@ def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
     # A node's label, the label's component, and the least doc_id of that.
     of_a, of_b = (labels.select(F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in ("a", "b"))
     ties = found.join(of_a, "a", "left").join(of_b, "b").select(F.coalesce("label_a", "a").alias("a"), F.col("label_b").alias("b")).where("a <> b")
-    further = connected_components(ties.union(more)).select(F.col("id").alias("label"), "component")
+    all_ties = ties.union(more) if tied is None else ties.union(more).union(tied)
+    further = connected_components(all_ties).select(F.col("id").alias("label"), "component")
     named = reps.select("node", "same", "id", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_node = materialize(named.join(further, "label", "left").select("same", "id", "members", F.coalesce("component", "label").alias("root")), "roots")
     least = of_node.groupBy("root").agg(F.min("id").alias("component"))
@@ -346,7 +375,7 @@ def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
     hot = F.broadcast(of_class.where("hot").select("same", "component"))
     done = some.join(hot, "same").select(*cols, "component")
     other = some.join(hot, "same", "left_anti").join(of_class.where("NOT hot").select("same", F.col("component").alias("c")), "same", "left").select(*cols, F.coalesce("c", "id").alias("component"))
-    for t in (reps, shared, involved, found_texts, wanted, labels, member, mixed_up, near, found, more, of_node, *scrap):
+    for t in (reps, shared, involved, found_texts, labels, member, mixed_up, near, found, more, of_node, *scrap):
         remove(t)
     # A row without an id belongs to nothing, whatever its text.
     return done.union(other).union(none).withColumn("component", F.when(F.col("id").isNotNull(), F.col("component")))
